@@ -17,9 +17,46 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import shards
+
+    out = shards.assign(read(spark, sf_dir), shards.SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    return bpe.digests(read(spark, sf_dir))
+
+
+def remainder(mod: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = read(spark, sf_dir)
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    model = langid.train(docs, ~held_out)
+    out = langid.predict(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(read(spark, sf_dir)).taken()
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op3_jump_shards": op3_jump_shards,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op7_language_id": op7_language_id,
+        "op9_mixing": op9_mixing,
     }
 
 
