@@ -24,6 +24,12 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.report(read(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("first").cast("long").alias("n_repeats"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -44,6 +50,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = read(spark, sf_dir)
+    return quality.judge(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -54,8 +67,10 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op3_jump_shards": op3_jump_shards,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_language_id": op7_language_id,
+        "op8_quality_rules": op8_quality_rules,
         "op9_mixing": op9_mixing,
     }
 
