@@ -2,7 +2,7 @@
 
 ``statistics`` computes a document's counts inside Spark's own expressions; nothing is exploded or
 shuffled. ``learn`` fits an ordered list of threshold conjunctions by sequential covering: a rule is
-grown on two thirds of the labelled statistics by information gain, pruned on the rest, kept if it
+grown from each feature on two thirds of the labelled statistics by information gain, pruned on the rest, kept if it
 is precise enough, and what it covers is taken out before the next one. ``DecisionList.verdict`` is
 the list as one ordered CASE expression.
 
@@ -38,7 +38,7 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     base = df.select(*[F.col(c) for c in keep], text.alias("_t"), F.when(F.length(trimmed) > 0, F.split(trimmed, BLANK)).otherwise(F.array().cast("array<string>")).alias("_w"))
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     base = base.select(*keep, "_t", "_w", lines.alias("_l"), F.size("_w").cast("long").alias("n_words"))
-    base = base.withColumn("_m", F.shiftleft(F.lit(1).cast("long"), F.length(F.bin("n_words"))) - 1)
+    base = base.withColumn("_m", F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("n_words"))) - 1)
     high = F.bitwise_not(F.col("_m"))
     hashed = F.transform(
         F.slice("_w", F.lit(1), F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int")),
@@ -146,25 +146,29 @@ def learn(rows: list[tuple[dict[str, float], bool]], precision: float = 0.97, le
     while len(out.rules) < max_rules:
         grow = [r for i, r in enumerate(left) if i % 3]
         prune = left[::3]
-        bad, good, rule = [x for x, ok in grow if not ok], [x for x, ok in grow if ok], []
+        bad, good, grown = [x for x, ok in grow if not ok], [x for x, ok in grow if ok], []
         if not bad or not good:
             break
-        while good and len(rule) < max_tests:
-            _, t = _best_test(bad, good, names)
-            if t is None:
-                break
-            rule.append(t)
-            bad, good = [x for x in bad if t.holds(x)], [x for x in good if t.holds(x)]
-        if not rule:
+        for first in names:  # one rule grown from each feature; the first test is on that feature
+            rule, p, n = [], bad, good
+            while p and n and len(rule) < max_tests:
+                _, t = _best_test(p, n, names if rule else [first])
+                if t is None:
+                    break
+                rule = [*rule, t]
+                p, n = [x for x in p if t.holds(x)], [x for x in n if t.holds(x)]
+                grown.append(rule)
+        if not grown:
             break
 
-        def score(r: list[Test]) -> tuple[float, int]:
-            hit = [ok for x, ok in prune if all(t.holds(x) for t in r)]
-            return ((hit.count(False) - hit.count(True)) / len(hit) if hit else -1.0, -len(r))
+        def score(r: list[Test]) -> tuple[bool, float, int, int]:
+            """If it is precise enough on all rows; its worth on the rows for pruning; what it covers; the shorter the better."""
+            every, hit = ([ok for x, ok in rs if all(t.holds(x) for t in r)] for rs in (left, prune))
+            fine = every.count(False) >= max(least, precision * len(every))
+            return fine, (hit.count(False) - hit.count(True)) / len(hit) if hit else -1.0, every.count(False), -len(r)
 
-        rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=score)
-        hit = [ok for x, ok in left if all(t.holds(x) for t in rule)]
-        if hit.count(False) < least or hit.count(False) < precision * len(hit):
+        rule = max(grown, key=score)
+        if not score(rule)[0]:
             break
         out.rules.append(tuple(rule))
         left = [(x, ok) for x, ok in left if not all(t.holds(x) for t in rule)]

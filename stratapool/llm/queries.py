@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    return media.columns(read(spark, sf_dir))
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import shards
 
@@ -40,6 +46,15 @@ def remainder(mod: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = read(spark, sf_dir)
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    net = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted", "flagged")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -66,9 +81,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op2_media_chunks": op2_media_chunks,
         "op3_jump_shards": op3_jump_shards,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_toxicity": op6_toxicity,
         "op7_language_id": op7_language_id,
         "op8_quality_rules": op8_quality_rules,
         "op9_mixing": op9_mixing,

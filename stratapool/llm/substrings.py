@@ -272,10 +272,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
                 kept.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]).decode())
             return pd.Series(kept)
 
-        marked = docs.withColumn("_own", same(F.col(text_col).cast("binary")))
-        both = marked.join(gone, (marked[id_col] == gone["_id"]) & (marked["_own"] == gone["_same"]), "left")
-        calm = both.where(F.col("_id").isNull()).select(*names)
-        left = both.where(F.col("_gone") < F.col("_n")).withColumn(text_col, cut(F.col(text_col).cast("binary"), F.col("_first"), F.col("_stop")))
-        if kind is not None:
-            left = left.withColumn("n_chars", F.length(text_col).cast(kind))
-        return ws.result(calm.unionByName(left.select(*names)))
+        text = F.col(text_col).cast("binary")
+        marked = docs.select(F.struct(*names).alias("_r"), F.col(id_col).alias("_i"), text.alias("_t"), same(text).alias("_own"))
+        both = marked.join(gone, (F.col("_i") == F.col("_id")) & (F.col("_own") == F.col("_same")), "left")
+        calm = both.where(F.col("_id").isNull()).select("_r.*")
+        left = both.where(F.col("_gone") < F.col("_n")).withColumn("_kept", cut("_t", "_first", "_stop"))
+        new = {text_col: F.col("_kept")} | ({"n_chars": F.length("_kept").cast(kind)} if kind is not None else {})
+        return ws.result(calm.unionByName(left.select(*[new.get(c, F.col("_r")[c]).alias(c) for c in names])))
