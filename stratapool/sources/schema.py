@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Fields of simple types; needs no session, unlike StructType.fromDDL."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (f.split() for f in spec.split(", "))])
 
 
 TABLES: dict[str, T.StructType] = {
@@ -27,7 +31,7 @@ TABLES: dict[str, T.StructType] = {
     "counters": _schema("key string, value long"),
 }
 LISTING = _schema("Path string, Name string, Size long, IsDir boolean, ModTime string")
-TRANSFERS = _schema("speed double, transferring array<struct<name: string, bytes: long>>")
+TRANSFERS = T.StructType([T.StructField("speed", T.DoubleType()), T.StructField("transferring", T.ArrayType(_schema("name string, bytes long")))])
 QUOTA = _schema("total long, used long, free long")
 FS_EVENT = _schema("path string, op string, ts timestamp")
 MAGIC = b"pdriveDB"  # the format's fixed first eight bytes
