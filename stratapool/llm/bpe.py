@@ -20,6 +20,7 @@ import base64
 import heapq
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from .common import id_type, prepare
 
 RANKS = "byte_bpe_50k.tiktoken"
 MAX_RANK_FILE = 64 << 20
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 BLOCK = 256
-CACHE = 1 << 19
+CACHE = 1 << 18
 HEAP_FROM = 80
 
 # Classes of code points, and states of the automaton: what the token so far is.
@@ -83,8 +84,7 @@ class Scanner:
         self.compose = np.array([[known[tuple(g[x] for x in f)] for g in names] for f in names], np.uint8)
         self.apply = np.array(names, np.uint8)
         self.starts = np.array([[_step(c, s)[1] for s in range(8)] for c in range(9)])
-        points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        every, self.table = "".join(points), np.full(0x110000, OTHER, np.uint8)
+        every, self.table = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])), np.full(0x110000, OTHER, np.uint8)
         for cls, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
             for m in regex.finditer(pattern, every):
                 a, b = (x if x < 0xD800 else x + 0x800 for x in m.span())
@@ -137,7 +137,6 @@ class Scanner:
 
 class Codec:
     def __init__(self, rank_file: bytes) -> None:
-        self.scanner = Scanner()
         self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in rank_file.splitlines() if line)}
         self.size = 1 + max(self.ranks.values())
         tokens: list[bytes] = [b""] * self.size
@@ -147,10 +146,22 @@ class Codec:
         self.begin = np.cumsum(self.length) - self.length
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.packed = [r.to_bytes(4, "little") for r in range(self.size)]
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
-        self.pairs = {a << 32 | b: r for t, r in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None}
         self.cache: dict[bytes, bytes] = {}
 
+    @cached_property
+    def scanner(self) -> Scanner:
+        return Scanner()
+
+    @cached_property
+    def single(self) -> list[int]:
+        return [self.ranks[bytes([b])] for b in range(256)]
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Two neighbours' ids in one number: the id of both together."""
+        of = self.ranks.get
+        return {a << 32 | b: r for t, r in self.ranks.items() for k in range(1, len(t)) if (a := of(t[:k])) is not None and (b := of(t[k:])) is not None}
+
     def merge(self, piece: bytes) -> bytes:
         """The ids of a slice: the pair of lowest rank, leftmost first, is merged until none is left."""
         if (r := self.ranks.get(piece)) is not None:
@@ -262,16 +273,23 @@ def read_ranks(path: str | None = None) -> bytes:
     return data
 
 
-def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+def groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about GROUP_CHARS."""
-    a, chars = 0, 0
-    for i, t in enumerate(texts):
-        if chars and chars + len(t) > GROUP_CHARS:
+    a = chars = 0
+    for i, n in enumerate(sizes):
+        if chars and chars + n > GROUP_CHARS:
             yield a, i
             a, chars = i, 0
-        chars += len(t)
-    if a < len(texts):
-        yield a, len(texts)
+        chars += n
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
+def lengths(column: pa.Array) -> list[int]:
+    """Of strings or binaries, in units of the column; null: 0."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
 def encode(docs: DataFrame, rank_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,9 +300,8 @@ def encode(docs: DataFrame, rank_path: str | None = None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in groups(texts):
-                ids = c.encode(texts[a:b])
+            for a, b in groups(lengths(batch.column(1))):
+                ids = c.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(map(c.offsets, ids), pa.binary())], ["doc_id", "ids", "offsets"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -299,8 +316,10 @@ def decode(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for batch in batches:
-            decoded = [c.decode(i.as_py(), o.as_py()) for i, o in zip(batch.column(1), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            for a, b in groups(lengths(batch.column(1))):
+                part = batch.slice(a, b - a)
+                decoded = [c.decode(i.as_py(), o.as_py()) for i, o in zip(part.column(1), part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     rows = encoded.select("doc_id", "ids", "offsets")
     return rows.mapInArrow(run, f"doc_id {id_type(encoded)}, ids binary, decoded binary")
