@@ -78,6 +78,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir)).taken()
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tokencounts
+
+    return tokencounts.of_documents(read(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -89,6 +95,7 @@ def queries() -> dict:
         "op7_language_id": op7_language_id,
         "op8_quality_rules": op8_quality_rules,
         "op9_mixing": op9_mixing,
+        "op10_token_counts": op10_token_counts,
     }
 
 
