@@ -211,3 +211,15 @@ def rename_key(sha: Column | str, size: Column | str) -> Column:
 
 def handshake_accept(key: Column | str) -> Column:
     return F.base64(F.unhex(F.sha1(F.concat(_col(key), F.lit(HANDSHAKE_GUID)))))
+
+
+def rfc3339(text: Column | str) -> Column:
+    """Unix seconds of a listed modification time; null where it can't be read."""
+    return F.unix_timestamp(F.try_to_timestamp(_col(text)))
+
+
+def frame_header(length: Column | str) -> Column:
+    """The length bytes of an unmasked text frame, in hexadecimal: 7, 7+16 or 7+64 bits."""
+    n = _col(length)
+    digits = lambda k: F.lpad(F.hex(n), k, "0")
+    return F.concat(F.lit("81"), _cases([(n < 126, digits(2)), (n < 1 << 16, F.concat(F.lit("7E"), digits(4)))], F.concat(F.lit("7F"), digits(16))))

@@ -345,3 +345,14 @@ def set_changes(snapshots: DataFrame) -> DataFrame:
     s = snapshots.groupBy("at").agg(F.array_sort(F.collect_set("path")).alias("now"))
     before = F.lag("now").over(W.orderBy("at"))
     return s.withColumn("before", before).where((F.col("before") != F.col("now")) & (F.size("now") < F.size("before"))).select("at")
+
+
+def object_plan(plan: DataFrame, providers: DataFrame) -> DataFrame:
+    """(rclone_remote, remote_path, action) of a delete plan, for whoever carries it out; no side effect."""
+    p = providers.select(F.col("id").alias("provider_id"), "rclone_remote")
+    return plan.where("action = 'delete'").join(p, "provider_id").select(text.ensure_colon("rclone_remote").alias("remote"), "remote_path", "action")
+
+
+def cleanup_plan(providers: DataFrame, deleted: DataFrame) -> DataFrame:
+    """One emptying of the trash for each provider that something was deleted from."""
+    return providers.join(deleted.select(F.col("provider_id").alias("id")).distinct(), "id", "left_semi").select(text.ensure_colon("rclone_remote").alias("remote"), F.lit("empty_trash").alias("action"))

@@ -298,6 +298,14 @@ query("html_escape", lambda f: f.contents().select("id", text.html_escape(F.subs
 query("remote_paths", lambda f: f.chunk_locations().join(f.chunks().select(F.col("id").alias("chunk_id"), "data_shards", "parity_shards", "sha256", "size_bytes"), "chunk_id").select("chunk_id", "shard_index", text.remote_path("chunks", "chunk_id", "shard_index", F.col("data_shards") + F.col("parity_shards")).alias("path"), text.rename_key("sha256", "size_bytes").alias("key")), "SELECT chunk_id, shard_index, 'chunks/' || chunk_id || CASE WHEN data_shards + parity_shards > 1 THEN '.s' || shard_index ELSE '' END AS path, sha256 || ':' || size_bytes AS key FROM chunk_locations l JOIN chunks c ON c.id = l.chunk_id")
 
 
+query("fmt_size_web", lambda f: _sz(f, text.size_text_web), f"SELECT id, CASE WHEN s >= 1099511627776 THEN {tenth('floor(s / 1099511627776.0::DOUBLE * 10 + 0.5) / 10')} || ' TB' WHEN s >= 1073741824 THEN {tenth('floor(s / 1073741824.0::DOUBLE * 10 + 0.5) / 10')} || ' GB' WHEN s >= 1048576 THEN {tenth('floor(s / 1048576.0::DOUBLE * 10 + 0.5) / 10')} || ' MB' WHEN s >= 1024 THEN {tenth('floor(s / 1024.0::DOUBLE * 10 + 0.5) / 10')} || ' KB' ELSE s || ' B' END AS label FROM (SELECT id, {_n} AS s FROM files)")
+query("listing_times", lambda f: f.listing().select("provider_id", "path", text.rfc3339(F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("mtime"), text.rfc3339(F.lit("not a time")).alias("odd")), "SELECT provider_id, path, mtime, CAST(NULL AS BIGINT) AS odd FROM listing")
+query("object_plan", lambda f: an.object_plan(an.delete_plan(f.files(), f.chunks(), f.chunk_locations(), DIR), f.providers()), "SELECT DISTINCT rclone_remote || ':' AS remote, remote_path, 'delete' AS action FROM inside i JOIN providers p ON p.id = i.provider_id WHERE remote_path NOT IN (SELECT remote_path FROM chunk_locations WHERE chunk_id NOT IN (SELECT chunk_id FROM inside))", inside=_inside)
+query("cleanup_plan", lambda f: an.cleanup_plan(f.providers(), f.failed_deletions()), "SELECT rclone_remote || ':' AS remote, 'empty_trash' AS action FROM providers WHERE id IN (SELECT provider_id FROM failed_deletions)")
+query("restore_valid", lambda f: q.restore_valid(q.restore_sample(f.chunk_locations(), f.providers()), f.listing().join(f.providers().select(F.col("id").alias("provider_id"), "rclone_remote"), "provider_id")), "SELECT count(*) = 0 AS valid FROM (SELECT provider_id FROM chunk_locations ORDER BY chunk_id, shard_index LIMIT 3) WHERE provider_id NOT IN (SELECT provider_id FROM listing)")
+query("frame_headers", lambda f: f.files().select("id", text.frame_header(F.col("size_bytes") % 200_000).alias("header")), "SELECT id, '81' || CASE WHEN n < 126 THEN printf('%02X', n) WHEN n < 65536 THEN '7E' || printf('%04X', n) ELSE '7F' || printf('%016X', n) END AS header FROM (SELECT id, size_bytes % 200000 AS n FROM files)")
+
+
 # Events.
 
 _burst = """SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY t_ms, op) AS burst, lead(t_ms) OVER w AS n_at, lead(touch) OVER w AS n_touch FROM
@@ -310,6 +318,7 @@ query("changed_only", lambda f: ev.changed_only(f.fs_events().where("op = 'Write
 query("directory_removals", lambda f: ev.directory_removals(f.fs_events(), f.spark.range(50).select(F.concat(F.lit("/u"), F.col("id").cast("string")).alias("path"))), "SELECT path, t_ms, CASE WHEN CAST(substr(path, 3) AS INTEGER) < 50 THEN 'delete_tree' ELSE 'wait' END AS action FROM fs_events WHERE op = 'Remove'")
 query("progress_reports", lambda f: ev.progress_reports(f.fs_events().select("path", "t_ms", (F.col("t_ms") * 1000).alias("bytes"), (F.col("op") == "Rename").alias("ended"))), "SELECT path, t_ms, bytes, ended FROM (SELECT *, lag(bytes, 1, 0) OVER (PARTITION BY path ORDER BY t_ms) AS b FROM (SELECT path, t_ms, t_ms * 1000 AS bytes, op = 'Rename' AS ended FROM fs_events)) WHERE ended OR bytes // 262144 > b // 262144")
 query("lifecycle", lambda f: ev.lifecycle(f.fs_events().select("path", "t_ms", F.col("op").alias("state"))), "SELECT path, arg_max(op, t_ms) AS state, min(t_ms) AS started_ms, count(*) AS steps FROM fs_events GROUP BY 1")
+query("backup_times", lambda f: ev.backup_times(f.activity_log().select((F.col("created_at") * 1000).alias("t_ms"))), "SELECT t_ms + 30000 AS fires_ms FROM (SELECT created_at * 1000 AS t_ms, lead(created_at * 1000) OVER (ORDER BY created_at) AS n FROM activity_log) WHERE n IS NULL OR n - t_ms > 30000")
 query("token_bucket", lambda f: ev.token_bucket(f.fs_events().select(F.col("op").alias("key"), "t_ms")))
 
 

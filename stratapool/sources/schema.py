@@ -105,6 +105,13 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(doc).option("multiLine", True).json(path).select(F.inline("list"))
 
 
+def listed_rows(listing: DataFrame, provider_id: str) -> DataFrame:
+    """A provider's listing as reconciliation takes it: (provider_id, path, name, size, is_dir, mtime)."""
+    from ..functions.text import rfc3339
+
+    return listing.select(F.lit(provider_id).alias("provider_id"), F.col("Path").alias("path"), F.col("Name").alias("name"), F.col("Size").alias("size"), F.col("IsDir").alias("is_dir"), rfc3339("ModTime").alias("mtime"))
+
+
 def quotas(rows: DataFrame, json_col: str = "json") -> DataFrame:
     """Quota answers; a missing number is 0."""
     q = F.from_json(json_col, QUOTA)

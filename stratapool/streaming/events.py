@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DEBOUNCE_MS, RENAME_MS, ECHO_MS = 2000, 500, 2000
+BACKUP_MS = 30_000
 REPORT_BYTES = 256 * 1024
 
 
@@ -161,3 +162,15 @@ def to_subscriber(stream: DataFrame, sink, queue: int = 64):
         sink(df.orderBy(F.desc("time")).limit(queue).collect()[::-1])
 
     return stream.writeStream.foreachBatch(send).start()
+
+
+def backup_times(changes: DataFrame, uploads: DataFrame | None = None, quiet_ms: int = BACKUP_MS) -> DataFrame:
+    """(fires_ms): when the catalog is backed up: after changes (t_ms) have been quiet, and no earlier
+    than the end of an upload (from_ms, to_ms) that is running then."""
+    one = changes.select(F.lit("catalog").alias("path"), F.lit("Write").alias("op"), "t_ms")
+    fires = debounce(one, quiet_ms).select("fires_ms")
+    if uploads is None:
+        return fires
+    both = fires.select("fires_ms", F.lit(None).cast("long").alias("to_ms"), F.col("fires_ms").alias("at")).unionByName(uploads.select(F.lit(None).cast("long").alias("fires_ms"), "to_ms", F.col("from_ms").alias("at")))
+    busy = F.max("to_ms").over(W.partitionBy(F.lit(0)).orderBy("at", F.col("fires_ms").isNotNull()).rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("busy", busy).where("fires_ms is not null").select(F.greatest("fires_ms", "busy").alias("fires_ms"))
