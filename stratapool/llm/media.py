@@ -7,6 +7,9 @@ and packs frames and their references into rows of bounded size. Reading back se
 the payloads that refer to it; a payload is put together in the order of its list and must have the
 SHA-256 under which it was stored.
 
+Frames are compressed with a dictionary, trained on the chunks of a bounded sample of payloads (SAMPLE
+of the smallest hashed ids); it changes sizes only.
+
 Bytes are shuffled once to find equal chunks and once to put payloads together, compressed both
 times. Equal payloads are one from the start. A chunk referred to by more than one in HOT_SHARE of
 all references is dealt out over several groups (at most HOT_SHARE such chunks exist, so their list
@@ -23,6 +26,7 @@ import hashlib
 import itertools
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ from .common import Workspace, id_type, prepare
 UNIT = 64
 SMALLEST, BITS, LARGEST = 2048, 12, 32768
 LEVEL = 9
+DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES = 112_640, 400, 8 << 20
 HOT_SHARE = 2000
 PACK_BYTES, PACK_REFS = 1 << 18, 4096
 GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
@@ -85,11 +90,28 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(media, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media", "chunks"])
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def dictionary(texts: list[bytes]) -> bytes:
+    """A compression dictionary from the chunks of a few payloads; empty if they are too few for one."""
+    import zstandard
+
+    samples = [c for t in texts for c in chunks(payload(t))]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _shared(data: bytes):
+    import zstandard
+
+    return zstandard.ZstdCompressionDict(data) if data else None
+
+
+def _frames(batches: Iterator[pa.RecordBatch], words: bytes) -> Iterator[pa.RecordBatch]:
     """Each chunk's digest and compressed bytes; what this task has just sent isn't sent again."""
     import zstandard
 
-    z, sent = zstandard.ZstdCompressor(level=LEVEL), set()
+    z, sent = zstandard.ZstdCompressor(level=LEVEL, dict_data=_shared(words)), set()
     for batch in batches:
         keys, frames, held = [], [], 0
         for t in batch.column(1):
@@ -147,11 +169,11 @@ def feature(data: bytes, n_chunks: int) -> str:
 FEATURES = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rebuild(batches: Iterator[pa.RecordBatch], words: bytes) -> Iterator[pa.RecordBatch]:
     """Frames sorted by (media, seq): payloads, checked against the digest that names them."""
     import zstandard
 
-    z, out = zstandard.ZstdDecompressor(), []
+    z, out = zstandard.ZstdDecompressor(dict_data=_shared(words)), []
     names = [x.split()[0] for x in FEATURES.split(", ")]
 
     def rows() -> Iterator[tuple[bytes, int, bytes]]:
@@ -180,10 +202,11 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Store:
-    """lists: one row a document (doc_id, n_bytes, media, chunks); packs: the chunk frames with references."""
+    """lists: one row a document (doc_id, n_bytes, media, chunks); packs: the chunk frames with references;
+    words: the compression dictionary that all frames need."""
 
-    def __init__(self, lists: DataFrame, packs: DataFrame):
-        self.lists, self.packs = lists, packs
+    def __init__(self, lists: DataFrame, packs: DataFrame, words: bytes):
+        self.lists, self.packs, self.words = lists, packs, words
 
     def frames(self) -> DataFrame:
         """(media, seq, n, frame): the ordered frames of each distinct payload."""
@@ -191,7 +214,15 @@ class Store:
 
     def features(self) -> DataFrame:
         """One row for each distinct payload, from its bytes as read back."""
-        return self.frames().repartition("media").sortWithinPartitions("media", "seq").mapInArrow(_rebuild, FEATURES)
+        return self.frames().repartition("media").sortWithinPartitions("media", "seq").mapInArrow(partial(_rebuild, words=self.words), FEATURES)
+
+
+def sample(docs: DataFrame, id_col: str, text_col: str) -> list[bytes]:
+    """Texts of the SAMPLE smallest hashed ids, SAMPLE_BYTES in all at most, for the dictionary only."""
+    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t")).join(F.broadcast(ids), "_id")
+    few = rows.where(F.octet_length("_t").between(1, SAMPLE_BYTES // SAMPLE)).groupBy("_id").agg(F.min("_t").alias("_t")).collect()
+    return [bytes(r["_t"]) for r in sorted(few, key=lambda r: str(r["_id"]))]
 
 
 def write(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Store:
@@ -205,12 +236,13 @@ def write(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str
     hot = refs.groupBy("chunk").count().where(F.col("count") > share).select("chunk", F.ceil(F.col("count") / share).cast("int").alias("parts"))
     hot = F.broadcast(hot.limit(HOT_SHARE))  # no more can exist
     parts = F.coalesce("parts", F.lit(1))
-    found = rows.mapInArrow(_frames, "chunk binary, frame binary").join(hot, "chunk", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    words = dictionary(sample(docs, id_col, text_col))
+    found = rows.mapInArrow(partial(_frames, words=words), "chunk binary, frame binary").join(hot, "chunk", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     distinct = found.groupBy("chunk", "part").agg(F.first("frame").alias("frame"))
     dealt = refs.join(hot, "chunk", "left").withColumn("part", F.pmod(F.xxhash64("media"), parts).cast("int"))
     both = dealt.join(distinct, ["chunk", "part"]).select("chunk", "media", "seq", "n", "frame", "part").sortWithinPartitions("chunk", "part")
     packs = ws.save(both.drop("part").mapInArrow(_pack, "frames array<binary>, media array<binary>, seq array<int>, n array<int>, frame array<int>"))
-    return Store(lists, packs)
+    return Store(lists, packs, words)
 
 
 def columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
