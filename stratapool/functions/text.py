@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 # Names and markers that results must be equal in.
 JUNK_NAMES = (".DS_Store", "Thumbs.db", "desktop.ini")
-SKIPPED_DIRS = (".pdrive", ".Trash", ".Trashes", ".Spotlight-V100", ".fseventsd")
+OWN_DIR = ".stratapool"  # the settings directory; another one is given by the caller
+SKIPPED_DIRS = (".Trash", ".Trashes", ".Spotlight-V100", ".fseventsd")
 RATE_LIMIT_MARKS = ("429", "ratelimit", "rate limit", "too many requests", "userratelimitexceeded", "ratelimitexceeded")
 QUOTA_MARKS = ("quota", "storagelimitexceeded", "storage limit", "insufficient storage", "not enough space", "disk full", "no space left", "enospc", "413", "over quota", "account full")
 ERRNO_MARKS = (("not empty", "ENOTEMPTY"), ("is a directory", "EISDIR"), ("not a directory", "ENOTDIR"), ("no space", "ENOSPC"), ("read-only", "EROFS"), ("invalid argument", "EINVAL"), ("name too long", "ENAMETOOLONG"))
@@ -102,9 +103,14 @@ def is_junk(name: Column | str) -> Column:
     return n.isin(*JUNK_NAMES) | n.startswith("._")
 
 
-def is_skipped(name: Column | str) -> Column:
+def is_skipped(name: Column | str, own: str = OWN_DIR) -> Column:
+    """Junk, the settings directory, and temporary files beside it."""
     n = _col(name)
-    return is_junk(n) | (n == ".pdrive") | n.startswith(".pdrive-")
+    return is_junk(n) | (n == own) | n.startswith(own + "-")
+
+
+def is_skipped_dir(name: Column | str, own: str = OWN_DIR) -> Column:
+    return _col(name).isin(own, *SKIPPED_DIRS)
 
 
 def extension(name: Column | str) -> Column:

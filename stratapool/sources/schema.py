@@ -34,7 +34,7 @@ LISTING = _schema("Path string, Name string, Size long, IsDir boolean, ModTime s
 TRANSFERS = T.StructType([T.StructField("speed", T.DoubleType()), T.StructField("transferring", T.ArrayType(_schema("name string, bytes long")))])
 QUOTA = _schema("total long, used long, free long")
 FS_EVENT = _schema("path string, op string, ts timestamp")
-MAGIC = b"pdriveDB"  # the format's fixed first eight bytes
+MAGIC = b"stratadb"  # first eight bytes of our backups; those of other makers are given by the caller
 
 
 @dataclasses.dataclass(frozen=True)
@@ -86,17 +86,17 @@ def save_catalog(catalog: Catalog, targets: list[str]) -> None:
             df.write.mode("overwrite").parquet(f"{target}/{n}")
 
 
-def backup_payloads(blobs: DataFrame) -> DataFrame:
+def backup_payloads(blobs: DataFrame, magic: bytes = MAGIC) -> DataFrame:
     """(…, stamp, content) of backup blobs (column data): eight magic bytes, big-endian nanoseconds, content."""
-    head = F.substring("data", 1, 8) == F.lit(MAGIC)
+    head = F.substring("data", 1, 8) == F.lit(magic)
     stamp = F.conv(F.hex(F.substring("data", 9, 8)), 16, 10).cast("decimal(20,0)").cast("long")
     ok = head & (F.octet_length("data") >= 16)
     return blobs.withColumn("stamp", F.when(ok, stamp)).withColumn("content", F.when(ok, F.expr("substring(data, 17)")))
 
 
-def newest_backup(blobs: DataFrame, source_col: str = "source") -> DataFrame:
+def newest_backup(blobs: DataFrame, source_col: str = "source", magic: bytes = MAGIC) -> DataFrame:
     """The backup of the largest positive stamp; of equal ones the first source. No row if there is none."""
-    return backup_payloads(blobs).where("stamp > 0").agg(F.min_by(F.struct(source_col, "stamp", "content"), F.struct(-F.col("stamp"), F.col(source_col))).alias("b")).where("b is not null").select("b.*")
+    return backup_payloads(blobs, magic).where("stamp > 0").agg(F.min_by(F.struct(source_col, "stamp", "content"), F.struct(-F.col("stamp"), F.col(source_col))).alias("b")).where("b is not null").select("b.*")
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:

@@ -103,10 +103,11 @@ def test_sources_and_snapshots(spark, tmp_path):
     again = sc.open_catalog(spark, str(tmp_path / "s2")).views()
     assert names(again.files) == ["/a"] and again.files.schema == sc.TABLES["files"] and spark.sql("SELECT count(*) n FROM files").first().n == 1
     assert sc.open_catalog(spark, str(tmp_path / "nothing")).counters.count() == 0
-    blob = lambda t, b: b"pdriveDB" + struct.pack(">Q", t) + b
+    blob = lambda t, b: sc.MAGIC + struct.pack(">Q", t) + b
     blobs = spark.createDataFrame([("a", bytearray(blob(5, b"old"))), ("b", bytearray(blob(9, b"new"))), ("c", bytearray(blob(9, b"tie"))), ("d", bytearray(b"junk")), ("e", bytearray(blob(0, b"zero")))], "source string, data binary")
     best = sc.newest_backup(blobs).first()
     assert (best.source, best.stamp, bytes(best.content)) == ("b", 9, b"new") and sc.newest_backup(blobs.where("source > 'c'")).count() == 0
+    assert sc.newest_backup(blobs, magic=b"12345678").count() == 0
     (tmp_path / "l.json").write_text('{"list": [{"Path": "d/x", "Name": "x", "Size": 3, "IsDir": false, "ModTime": "2024-01-01T00:00:00Z"}]}')
     assert sc.listing(spark, str(tmp_path / "l.json")).first().Path == "d/x"
     rows = spark.createDataFrame([('{"total": 5}',), ("{}",)], "json string")

@@ -48,6 +48,13 @@ def test_labels(spark):
     assert one(spark, 1, text.plural("x"), "int") == "" and one(spark, "", text.provider_detail("x", F.lit(""))) == ""
 
 
+def test_skipped(spark):
+    assert one(spark, ".mine-tmp", text.is_skipped("x", ".mine")) is True and one(spark, "mine", text.is_skipped("x", ".mine")) is False
+    assert one(spark, ".Trash", text.is_skipped_dir("x")) is True and one(spark, "docs", text.is_skipped_dir("x")) is False
+    assert one(spark, 300, text.frame_header("x"), "int") == "817E012C" and one(spark, 5, text.frame_header("x"), "int") == "8105"
+    assert one(spark, "2024-01-01T00:00:00Z", text.rfc3339("x")) == 1704067200 and one(spark, "odd", text.rfc3339("x")) is None
+
+
 def test_paths(spark):
     assert paths.norm_dir("/a") == paths.norm_dir("/a/") == "/a/" and paths.norm_dir("/") == "/"
     assert paths.clean("a/../../b/./c//d") == "/b/c/d" and paths.clean("") == "/" and paths.clean_mount("../x") == "/../x" and paths.clean_mount("") == "/."
