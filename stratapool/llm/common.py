@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,10 @@ from pyspark.sql import Window as W
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 WORD = r"[^\x20\x09-\x0D]+"
+#: What one Arrow batch holds, so that a Python worker's memory is bounded; settings of the session's start win.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+#: Python workers live through several operators: freed memory goes back to the system at once.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -40,6 +45,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    for key, value in WORKER_ENV.items():
+        env.setdefault(key, value)
+    for key, most in BATCH_LIMITS.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, most)
     shared_dir(spark)
     return spark
 
@@ -58,6 +68,20 @@ def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
+_owner: str | None = None
+
+
+def enter(owner: str) -> None:
+    """Called by a task of an operator in its Python worker: what other operators have kept there goes."""
+    global _owner
+    if _owner not in (None, owner):
+        for name in ("bpe", "langid", "toxicity"):
+            if name != owner and (module := sys.modules.get(f"{__package__}.{name}")) is not None:
+                module.release()
+        gc.collect()
+    _owner = owner
+
+
 class Workspace:
     """Tables in the shared folder that live while one operator runs.
 
@@ -136,6 +160,22 @@ def running_offset(df: DataFrame, group: list[str], order: list[str], value: Col
     )
 
 
+HOT_SHARE = 2000
+
+
+def join_sums(rows: DataFrame, sums: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with what was aggregated from them by keys (column n: the rows of each key).
+
+    Keys with more than one in HOT_SHARE of all rows are at most HOT_SHARE, so their sums are
+    broadcast and their rows stay where they are; the others meet by a shuffle, in which no key is
+    larger than that share (or 1000 rows).
+    """
+    least = max(1000, total // HOT_SHARE)
+    hot = F.broadcast(sums.where(F.col(n) > least))
+    few = sums.where(F.col(n) <= least)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(few, keys))
+
+
 def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, root) for every node of an edge: root is the smallest node reachable.
 

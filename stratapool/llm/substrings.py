@@ -25,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, id_type, prepare
+from .common import Workspace, enter, id_type, join_sums, prepare
 
 WINDOW = 50
 GRAM = 13
-GROUP_WORDS = 1 << 19
+GROUP_BYTES = 1 << 20
+GROUP_WINDOWS = 1 << 17
 R1, R2, R3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
@@ -74,12 +76,13 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    a = words = 0
+    """Ranges of texts of about GROUP_BYTES."""
+    a = held = 0
     for i, n in enumerate(sizes):
-        if words and words + n > GROUP_WORDS:
+        if held and held + n > GROUP_BYTES:
             yield a, i
-            a, words = i, 0
-        words += n
+            a, held = i, 0
+        held += n
     if a < len(sizes):
         yield a, len(sizes)
 
@@ -97,10 +100,10 @@ def _anchor(window: int, gram: int):
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         for batch in batches:
-            every = [(t.as_py() or b"").split() for t in batch.column(1)]
-            for a, b in groups([len(w) for w in every]):
-                words = every[a:b]
+            for a, b in groups(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+                words = [(t.as_py() or b"").split() for t in batch.column(1).slice(a, b - a)]
                 joined = [b" ".join(w) for w in words]
                 n = np.array([len(w) for w in words], np.int64)
                 flat = [x for w in words if len(w) >= window for x in w]
@@ -133,6 +136,7 @@ def _windows(window: int):
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         for batch in batches:
             rows = zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True)
             parts: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -159,7 +163,7 @@ def _windows(window: int):
                 s = np.flatnonzero(hit[window - block + 1 :] - hit[: -(window - block + 1)] > 0)
                 parts.append((i, same, s, window_hashes(h, window, R1)[s], window_hashes(h, window, R2)[s]))
                 held += len(s)
-                if held > GROUP_WORDS:
+                if held > GROUP_WINDOWS:
                     yield flush()
                     held = 0
             if parts:
@@ -177,6 +181,7 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         for batch in batches:
             out = []
             for doc, text, same, starts in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
@@ -206,18 +211,19 @@ def removals(ws: Workspace, docs: DataFrame, window: int = WINDOW, gram: int = G
     anchors = ws.save(rows.mapInArrow(_anchor(window, gram), schema))
     known = anchors.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
 
-    first = known.groupBy("same").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    copies = ws.save(known.select("doc_id", "same").join(first.where("low < high"), "same").where("doc_id > low").select("doc_id", "same").distinct())
+    first = known.groupBy("same").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    copies = ws.save(join_sums(known.select("doc_id", "same"), first, ["same"], "n", known.count()).where("doc_id > low").select("doc_id", "same").distinct())
 
     runs = known.select("doc_id", "same", F.inline(F.arrays_zip("key", "lo", "hi", "anchored")))
-    hits = runs.groupBy("key").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.max("anchored").alias("c")).where("a < b and c").select("key")
-    by_doc = runs.drop("anchored").join(hits, "key", "left_semi").groupBy("doc_id", "same").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    hits = runs.groupBy("key").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.max("anchored").alias("c"), F.count("*").alias("n")).where("a < b and c").select("key", "n")
+    total = known.agg(F.coalesce(F.sum(F.size("key")), F.lit(0))).first()[0]
+    by_doc = join_sums(runs.drop("anchored"), hits, ["key"], "n", total).groupBy("doc_id", "same").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     by_doc = by_doc.join(copies, ["doc_id", "same"], "left_anti")
     texts = ws.save(rows.join(by_doc, "doc_id").select("doc_id", "text", "same", "runs"))
 
     windows = ws.save(texts.mapInArrow(_windows(window), f"doc_id {kind}, same long, s int, h1 long, h2 long"))
-    low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    shared = windows.join(low, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id", "same").agg(F.collect_set("s").alias("starts"))
+    low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high")
+    shared = join_sums(windows, low, ["h1", "h2"], "n", windows.count()).where("doc_id > low").groupBy("doc_id", "same").agg(F.collect_set("s").alias("starts"))
     shared = ws.save(shared)
     ws.drop(windows)
     cut = texts.select("doc_id", "text", "same").join(shared, ["doc_id", "same"]).select("doc_id", "text", "same", "starts").mapInArrow(_cut(window), f"doc_id {kind}, same long, n_removed long, kept_sha256 string, first array<long>, stop array<long>")
