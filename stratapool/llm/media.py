@@ -37,7 +37,7 @@ from .common import Workspace, id_type, prepare
 
 UNIT = 64
 SMALLEST, BITS, LARGEST = 2048, 12, 32768
-LEVEL = 9
+LEVEL = 13
 DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES = 112_640, 400, 8 << 20
 HOT_SHARE = 2000
 PACK_BYTES, PACK_REFS = 1 << 18, 4096
