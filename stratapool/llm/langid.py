@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import id_type, prepare
+from .common import enter, id_type, prepare
 
 BITS = 13
 ORDERS = 3
@@ -32,6 +32,7 @@ SLACK = 0.25
 FLOOR = 0.05
 SEED = 5
 MAX_LANGUAGES = 200
+SALTS = 8
 UND = "und"
 
 _table: np.ndarray | None = None
@@ -50,6 +51,11 @@ def _letters() -> np.ndarray:
     return _table
 
 
+def release() -> None:
+    global _table
+    _table = None
+
+
 def grams(text: str) -> np.ndarray | None:
     """Counts of hashed n-grams; None without a letter."""
     p = _letters()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
@@ -123,7 +129,7 @@ def train(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     """The sample is chosen by ids alone, so that only chosen rows' texts move."""
     prepare(docs.sparkSession)
     ids = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).agg(F.lit(1))
-    salted = ids.select("_id", "_lang", F.xxhash64("_id").alias("_h")).withColumn("_s", F.pmod("_h", F.lit(64)))
+    salted = ids.select("_id", "_lang", F.xxhash64("_id").alias("_h")).withColumn("_s", F.pmod("_h", F.lit(SALTS)))
     some = salted.withColumn("_n", F.row_number().over(W.partitionBy("_lang", "_s").orderBy("_h", "_id"))).where(F.col("_n") <= per_language)
     few = some.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_h", "_id"))).where(F.col("_n") <= per_language)
     chosen = few.select("_id", "_lang").limit(per_language * MAX_LANGUAGES).collect()  # bounded by both parameters
@@ -142,6 +148,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = spark.sparkContext.broadcast((model.languages, model.idf, model.centroids, model.of, model.limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         m = Model(*shared.value)
         for batch in batches:
             got = [m.predict(t.as_py()) for t in batch.column(1)]
@@ -161,6 +168,7 @@ def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     def rejected(texts):
         import pandas as pd
 
+        enter("langid")
         m = Model(*shared.value)
         return pd.Series([m.predict(t)[2] for t in texts], dtype=bool)
 

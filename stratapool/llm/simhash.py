@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, id_type, prepare
+from .common import connected_components, enter, id_type, prepare
 
 RADIUS = 2
 SHINGLE = 3
@@ -63,6 +63,7 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("simhash")
     for batch in batches:
         fps = b"".join([fingerprint(x.as_py()) for x in batch.column(1)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(fps, ">u8").astype(np.uint64).view(np.int64))], ["doc_id", "fp"])

@@ -53,3 +53,5 @@ def test_table_against_tiktoken(spark, sf_dir, tik):
         want.append((d, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    apart = bpe.decode(bpe.encode(docs)).orderBy("doc_id").collect()
+    assert [(r.doc_id, bytes(r.decoded).decode()) for r in apart] == [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
