@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
-Language ID drops rejected documents, SimHash near-dedup keeps one document of each group, substring
-dedup cuts passages that an earlier document has, mixing draws the sources' blocks to their target
+Language ID drops rejected documents, near-dedup keeps one document of each group (5-word shingles,
+similarity of 0.8 or more), substring dedup cuts passages that an earlier document has, mixing draws the sources' blocks to their target
 weights, byte-level BPE encodes what is left and checks the round trip.
 """
 

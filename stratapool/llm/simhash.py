@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, enter, id_type, prepare
+from . import similar
+from .common import Workspace, connected_components, enter, id_type, prepare
 
 RADIUS = 2
 SHINGLE = 3
@@ -208,7 +209,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     return fps.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without those that have a class mate of smaller id; of equal ids in a class all rows stay, and rows of null id stay."""
-    gone = classes(docs, id_col, text_col, radius).where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = similar.SHINGLE, similarity: float = similar.SIMILARITY) -> DataFrame:
+    """docs without those that have a class mate of smaller id; of equal ids in a class all rows stay, and rows of null id stay.
+
+    Linked are texts whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or
+    more, found by ``similar`` without loss: fingerprints of such pairs differ in about 10 of 64 bits,
+    where comparing all fingerprints would grow with the square of the documents.
+    """
+    with Workspace(docs.sparkSession) as ws:
+        rows = similar.prefixes(ws, docs, id_col, text_col, shingle, similarity)
+        roots = similar.similar_classes(ws, docs, rows, text_col, shingle, similarity).withColumnRenamed("node", "fp")
+        of = rows.groupBy("fp").agg(F.min("doc_id").alias("low")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = of.groupBy("root").agg(F.min("low").alias("component_id"))
+        member = of.join(least, "root").select("fp", "component_id")
+        gone = ws.result(rows.select("doc_id", "fp").join(member, "fp").where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
