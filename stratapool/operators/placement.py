@@ -5,6 +5,7 @@ Randomness is always passed in as a column of numbers from 0 up to 1.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -197,17 +198,33 @@ def plan_for_files(files: DataFrame, spaces: list[int], override: int = 0) -> Da
     return files.select("id", "size_bytes").mapInPandas(run, f"id {kind}, size_bytes long, tiers array<struct<count: long, size: long>>, max_chunk long, n_chunks long")
 
 
-def place_file(size: int, free: list[tuple[str, int]], chunk: int, min_free: int = 0) -> list[tuple[int, int, str | None]]:
-    """(sequence, size, provider) of a file's chunks, each on the most free provider after the ones before."""
-    left, out, seq = dict(free), [], 0
-    order = [i for i, _ in free]
+def rank_free(free: list[tuple[str, int]]) -> list[tuple[int, int]]:
+    """(minus free, place in free) of each provider, most free first."""
+    return sorted((-f, i) for i, (_, f) in enumerate(free))
+
+
+def place_file(size: int, free: list[tuple[str, int]], chunk: int, min_free: int = 0, ranked: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str | None]]:
+    """(sequence, size, provider) of a file's chunks, each on the most free provider after the ones before.
+
+    Providers that hold a chunk already are in a heap, the others in the ranked order, so a chunk
+    costs the logarithm of the file's chunks, whatever the number of providers.
+    """
+    ranked = rank_free(free) if ranked is None else ranked
+    used: list[tuple[int, int]] = []
+    out, seq, at = [], 0, 0
     while size > 0:
         n = min(chunk, size)
-        fit = [i for i in order if left[i] >= max(n, min_free)]
-        best = max(fit, key=lambda i: (left[i], -order.index(i))) if fit else None
-        if best is not None:
-            left[best] -= n
-        out.append((seq, n, best))
+        fresh = at < len(ranked) and (not used or ranked[at] < used[0])
+        best = ranked[at] if fresh else used[0] if used else None
+        if best is not None and -best[0] >= max(n, min_free):
+            if fresh:
+                at += 1
+                heapq.heappush(used, (best[0] + n, best[1]))
+            else:
+                heapq.heapreplace(used, (best[0] + n, best[1]))
+            out.append((seq, n, free[best[1]][0]))
+        else:
+            out.append((seq, n, None))
         size, seq = size - n, seq + 1
     return out
 
@@ -215,10 +232,11 @@ def place_file(size: int, free: list[tuple[str, int]], chunk: int, min_free: int
 def upload_placement(files: DataFrame, providers: DataFrame, now: int, chunk: int, min_free: int = 0) -> DataFrame:
     """(id, sequence, size, provider_id): a plan for each file, as if it came alone. No provider fits: null."""
     free = [(r["id"], r["quota_free_bytes"]) for r in eligible(providers, now, 0, min_free).select("id", "quota_free_bytes", "display_name").collect()]
+    ranked = rank_free(free)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *r) for i, s in zip(b.id, b.size_bytes) for r in place_file(int(s), free, chunk, min_free)]
+            rows = [(i, *r) for i, s in zip(b.id, b.size_bytes) for r in place_file(int(s), free, chunk, min_free, ranked)]
             yield pd.DataFrame(rows, columns=["id", "sequence", "size", "provider_id"])
 
     kind = files.schema["id"].dataType.simpleString()

@@ -166,11 +166,11 @@ query("assign_shards_mfs", lambda f: pl.assign_shards_mfs(f.providers(), NOW, 12
     JOIN (SELECT count(*) AS m FROM c) ON true LEFT JOIN c a ON a.by_free = i + 1 LEFT JOIN c b ON i >= m AND b.by_name = (i - m) % m + 1""", c=f"SELECT id, row_number() OVER (ORDER BY quota_free_bytes DESC, display_name) AS by_free, row_number() OVER (ORDER BY display_name) AS by_name FROM providers WHERE {_open} AND quota_free_bytes >= 400000")
 _unit = lambda c: F.pmod(F.regexp_extract(c, r"\d+", 0).cast("long") * 7919, F.lit(10_000)) / 10_000
 query("assign_chunk_pfrd", lambda f: pl.assign_chunk_pfrd(f.files().select("id", _unit("id").alias("uniform")), f.providers(), NOW, 1000), f"""SELECT d.id, s.id AS provider_id FROM (SELECT id, {big("floor((CAST(substr(id, 2) AS BIGINT) * 7919 % 10000) / 10000.0::DOUBLE * (SELECT max(high) FROM spans))")} AS r FROM files) d JOIN spans s ON r >= low AND r < high""", spans=f"SELECT id, sum(quota_free_bytes) OVER (ORDER BY display_name, id ROWS UNBOUNDED PRECEDING) - quota_free_bytes AS low, sum(quota_free_bytes) OVER (ORDER BY display_name, id ROWS UNBOUNDED PRECEDING) AS high FROM providers WHERE {_open} AND quota_free_bytes >= 1000")
-query("assign_shards_pfrd", lambda f: pl.assign_shards_pfrd(f.files().where("size_bytes % 50 = 0").select("id", F.lit(4).alias("n"), F.array(*[_unit("id") for _ in range(4)]).alias("uniforms")), f.providers(), NOW, 1000))
+query("assign_shards_pfrd", lambda f: pl.assign_shards_pfrd(f.files().select("id", F.lit(4).alias("n"), F.array(*[_unit("id") for _ in range(4)]).alias("uniforms")), f.providers(), NOW, 1000))
 query("plan_chunks", lambda f: pl.plan_for_files(f.files().select("id", (F.col("size_bytes") * 1000).alias("size_bytes")), [6 * pl.GIB, 3 * pl.GIB, 2 * pl.GIB]).select("id", "n_chunks", "max_chunk"))
 query("estimate_chunks", lambda f: pl.plan_for_files(f.files(), [], 1 << 20).select("id", "n_chunks"), f"SELECT id, {big('ceil(size_bytes / 1048576)')} AS n_chunks FROM files")
-query("upload_placement", lambda f: pl.upload_placement(f.files().where("size_bytes % 20 = 0"), f.providers(), NOW, 500_000))
-query("upload_rollback_credits", lambda f: pl.rollback_credits(pl.upload_placement(f.files().where("size_bytes % 20 = 0"), f.providers(), NOW, 500_000), f.files().where("upload_state = 'pending'")))
+query("upload_placement", lambda f: pl.upload_placement(f.files(), f.providers(), NOW, 500_000))
+query("upload_rollback_credits", lambda f: pl.rollback_credits(pl.upload_placement(f.files(), f.providers(), NOW, 500_000), f.files().where("upload_state = 'pending'")))
 
 
 # Status and reconciliation.
