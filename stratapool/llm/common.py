@@ -2,19 +2,23 @@
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir`` (shared by driver and
 executors), never to a machine-local folder of a cluster; a local default is set only where the
-session has none, as in tests.
+session has none and its master is local, as in tests. Checkpoints go when nothing refers to them
+any more, unless the session says otherwise.
 """
 
 from __future__ import annotations
 
 import contextlib
 import gc
+import itertools
 import os
 import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,14 +29,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 #: Python workers live through several operators: freed memory goes back to the system at once.
 WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+CHECKPOINT_CLEANUP = "spark.cleaner.referenceTracking.cleanCheckpoints"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, a local one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset and the master is local, a local one is set."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "stratapool-checkpoints"))
         base = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
@@ -50,6 +57,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, most in BATCH_LIMITS.items():
         if not spark.sparkContext.getConf().contains(key):
             spark.conf.set(key, most)
+    if not spark.sparkContext.getConf().contains(CHECKPOINT_CLEANUP):
+        spark.sparkContext._jsc.sc().conf().set(CHECKPOINT_CLEANUP, "true")
     shared_dir(spark)
     return spark
 
@@ -127,6 +136,54 @@ class Workspace:
         gc.collect()
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's. Through Arrow: a list would start Python workers that only pass it on."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(spark.createDataFrame(spark.sparkContext.emptyRDD(), schema).schema)
+    columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds))
+
+
+def deal(rows: DataFrame, key: str, by: str, block_rows: int) -> DataFrame:
+    """rows with the key's place taken by ``part``, dealt and sorted by it: for each pair of rows of
+    one key there is a part with both. Keys of more than block_rows rows are split into blocks by a
+    hash of ``by``, and each pair of blocks is a part, so no part is larger than about twice that.
+    Keys whose parts collide are in one part: they are compared as well."""
+    spark = rows.sparkSession
+    others = [c for c in rows.columns if c != key]
+    hot = rows.groupBy(F.col(key).alias("_hot")).count().where(F.col("count") > block_rows).checkpoint(eager=True)
+    if hot.isEmpty():
+        parts = rows.select(F.col(key).alias("part"), *others)
+    else:
+        n = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / block_rows).cast("int")
+        own = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64(by), F.col("_n")))
+        pairs = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        part = F.when(F.col("_n") == 1, F.col(key)).otherwise(F.xxhash64(key, F.least("_b", "_o"), F.greatest("_b", "_o")))
+        parts = pairs.select(part.alias("part"), *others)
+    return parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that end where a group ends; rows are sorted by the first column, whole numbers."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+            if not cut and (not held or held[-1].column(0)[-1].as_py() == keys[0]):
+                held.append(batch)
+                continue
+            held, rest = [*held, batch.slice(0, cut)], [batch.slice(cut)]
+        else:
+            rest = []
+        if sum(b.num_rows for b in held):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held = rest
+
+
 def id_type(df: DataFrame, col: str = "doc_id") -> str:
     return df.schema[col].dataType.simpleString()
 

@@ -21,7 +21,6 @@ kept as they are. Other columns are not looked at.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import Workspace, connected_components, enter, id_type, prepare
+from .common import Workspace, connected_components, deal, enter, id_type, prepare, whole_groups
 
 RADIUS = 2
 SHINGLE = 3
@@ -160,40 +159,20 @@ def links(key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np
 
 def _link(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                keys = np.r_[keys, batch.column(0).to_numpy(zero_copy_only=False)]
-                fps = np.r_[fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-                if not len(keys):
-                    continue
-                cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
-            else:
-                cut = len(keys)
-            if cut:
-                u, v = links(keys[:cut], fps[:cut], radius)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-                keys, fps = keys[cut:], fps[cut:]
+        for batch in whole_groups(batches):
+            key, fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            u, v = links(key, fps.view(np.uint64), radius)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     return run
 
 
 def link_classes(distinct: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(node, root) of the distinct fingerprints (column fp) that have a partner."""
-    spark = prepare(distinct.sparkSession)
+    prepare(distinct.sparkSession)
     at = distinct.select("fp").mapInArrow(_emit(radius), "bucket long, fp long")
-    hot = at.groupBy("bucket").count().where(F.col("count") > block_rows).checkpoint(eager=True)
-    if hot.isEmpty():
-        groups = at.select(F.col("bucket").alias("part"), "fp")
-    else:
-        n = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / block_rows).cast("int")
-        own = at.join(hot, "bucket", "left").withColumn("n", n).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("n")))
-        pairs = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        part = F.when(F.col("n") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("b", "o"), F.greatest("b", "o")))
-        groups = pairs.select(part.alias("part"), "fp")  # parts that collide are compared together: no link is lost
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = groups.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_link(radius), "u long, v long")
+    edges = deal(at, "bucket", "fp", block_rows).mapInArrow(_link(radius), "u long, v long")
     return connected_components(edges, "u", "v")
 
 
@@ -210,17 +189,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = similar.SHINGLE, similarity: float = similar.SIMILARITY) -> DataFrame:
-    """docs without those that have a class mate of smaller id; of equal ids in a class all rows stay, and rows of null id stay.
+    """docs with one row of each class of near duplicates: that of the smallest id.
 
     Linked are texts whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or
-    more, found by ``similar`` without loss: fingerprints of such pairs differ in about 10 of 64 bits,
-    where comparing all fingerprints would grow with the square of the documents.
+    more, found by ``similar``. Rows are known by id and text, so rows of one id and different texts
+    are judged apart; null ids come last, rows of equal id by their texts' hashes; of rows of equal id
+    and text one stays (with the smallest hash of all its columns). All texts without a word are one
+    class. Other columns pass through. An empty table stays empty.
     """
+    names = docs.columns
     with Workspace(docs.sparkSession) as ws:
         rows = similar.prefixes(ws, docs, id_col, text_col, shingle, similarity)
         roots = similar.similar_classes(ws, docs, rows, text_col, shingle, similarity).withColumnRenamed("node", "fp")
-        of = rows.groupBy("fp").agg(F.min("doc_id").alias("low")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        least = of.groupBy("root").agg(F.min("low").alias("component_id"))
-        member = of.join(least, "root").select("fp", "component_id")
-        gone = ws.result(rows.select("doc_id", "fp").join(member, "fp").where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+        first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+        one = rows.groupBy("fp").agg(F.min(first).alias("low")).join(roots, "fp", "left").select("low", F.coalesce("root", "fp").alias("root"))
+        low = one.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("_id"), F.col("low.fp").alias("_fp"))
+        copies = rows.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).where("n > 1")
+        again = low.join(copies, low["_id"].eqNullSafe(copies["doc_id"]) & (low["_fp"] == copies["fp"]), "left_semi")
+        kept, again = ws.result(low), ws.result(again)
+    # What a text without a word is named differs from its hash, so its row is known by the hash alone.
+    word = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.select(F.struct(*names).alias("_r"), F.col(id_col).alias("_i"), F.when(word, similar.identity(F.col(text_col))).otherwise(F.lit(similar.NO_WORD)).alias("_f"))
+    own = lambda df: named["_i"].eqNullSafe(df["_id"]) & (named["_f"] == df["_fp"])
+    if again.isEmpty():
+        return named.join(kept, own(kept), "left_semi").select("_r.*")
+    left = kept.join(again, kept["_id"].eqNullSafe(again["_id"]) & (kept["_fp"] == again["_fp"]), "left_anti")
+    many = named.join(again, own(again), "left_semi").groupBy("_i", "_f").agg(F.min_by("_r", F.xxhash64("_r")).alias("_r"))
+    return named.join(left, own(left), "left_semi").select("_r.*").unionByName(many.select("_r.*"))

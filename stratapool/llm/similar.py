@@ -1,17 +1,27 @@
 """Pairs of texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
-Every such pair is found, up to what links need: pairs that other links already join are skipped.
-
-* Equal texts, and texts without a word, are one node from the start, named by a 64-bit hash of the text.
-* Two sets of that similarity share a shingle among the first n - ceil(similarity n) + 1 of each, in
-  any order common to all (prefix filter). The order is by the count in a bounded sample of texts,
-  then by hash, so that common passages come last; the sample decides on speed only, not on links.
-* Of each list of nodes that share such a shingle, one is compared with all others, and components
-  are formed; lists that lie in one component are done. So a large group of near copies costs about
-  its size. When the pairs left are few, or that no longer halves them, all of them are compared whose
-  places in the order allow the similarity (positional filter).
-* A comparison is the exact intersection of the two sets of shingle hashes. The sets are never
-  stored for all texts: those of the nodes to compare are made again from the texts.
+A 64-bit fingerprint (bitwise majority of the shingle hashes) is compared tile by tile, as in
+``simhash``; such pairs differ in about 10 of 64 bits, so tiles of population counts alone would cut
+nothing and the work would grow with the square of the documents. So rows meet under keys that pairs
+of that similarity share, and only rows under one key are compared:
+
+* Below ``LONG`` shingles, the first n - ceil(similarity n) + 1 shingles in an order common to all
+  (prefix filter): no pair is lost. The order is by the count in a bounded sample of texts, then by
+  hash, so that common passages come last; the sample decides on speed only, not on links.
+* From ``LONG`` on, BINS // BAND bands of BAND minima, one for each of BINS parts of the hash range: a
+  pair of similarity s misses all of them with probability (1 - s ** BAND) ** (BINS // BAND), 3e-6 at
+  0.8. Texts up to LONG / similarity have both kinds of keys, so mixed pairs meet as well.
+* Under a key, rows whose fingerprints differ in more than RADIUS bits (at 0.8: one pair in a million)
+  are not compared; of fewer than SHORT shingles all are. First one row of each key is compared with
+  all others, and components are formed; keys whose rows lie in one component are done. So a large
+  group of near copies costs about its size. When the pairs left are few, or that no longer halves
+  them, numpy compares tiles of what is left by exclusive-or and bit counts, skipping tile pairs whose
+  population counts differ beyond the radius.
+* Each pair found is verified by the exact intersection of the two sets of shingle hashes. The sets
+  are never stored for all texts: those of the nodes to compare are made again from the texts.
+
+Equal texts are one node from the start, named by 128 bits of their SHA-256; texts without a word,
+null ones included, are one node too. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -22,42 +32,67 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, enter, id_type
+from .common import Workspace, connected_components, deal, enter, id_type, local_rows, whole_groups
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
+RADIUS, SHORT = 24, 16
+LONG, BINS, BAND = 256, 96, 4
 SAMPLE = 10_000
 COMMON = 200_000
 STARS = 8
 BROADCAST = 500_000
 FEW = 8
+TILE, SMALL, PAIRS = 512, 16, 1 << 16
+BLOCK_ROWS = 1 << 16
 EPS = 1e-9
+NO_WORD = bytes(16)
+EDGES = np.array([-(-k * (1 << 64) // BINS) for k in range(BINS)], np.uint64)
 
 
-def shingle_set(data: bytes | None, shingle: int = SHINGLE) -> bytes:
+def shingle_set(data: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct shingles' hashes in ascending order; a text of fewer words is one shingle."""
     words = data.lower().split() if data else []
     n = len(words)
     if not n:
-        return b""
+        return np.empty(0, np.uint64)
     h, joined = xxhash.xxh64_intdigest, b" ".join(words)
     if n < shingle:
-        return np.array([h(joined, SEED)], "<u8").tobytes()
+        return np.array([h(joined, SEED)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: n - shingle + 1].tolist()
-    hashes = {h(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())}
-    return np.sort(np.fromiter(hashes, np.uint64, len(hashes))).astype("<u8").tobytes()
+    return np.unique(np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, n - shingle + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint: bits that over half of the hashes have."""
+    rows, counts = h.astype(">u8").view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 13):
+        counts += np.unpackbits(rows[k : k + (1 << 13)], axis=1).sum(axis=0, dtype=np.uint16)
+    return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big", signed=True)
 
 
 def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - EPS) + 1 if n else 0
 
 
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band: its number, and the smallest hash of each of its parts of the hash range (0 for an empty part)."""
+    at = np.searchsorted(h, EDGES)
+    stop = np.append(at[1:], len(h))
+    low = np.where(at < stop, h[np.minimum(at, len(h) - 1)], np.uint64(0)).reshape(-1, BAND)
+    key = np.arange(1, len(low) + 1, dtype=np.uint64)
+    for k in range(BAND):
+        key = (key ^ low[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key[low.any(axis=1)]
+
+
 def jaccard_at_least(a: bytes, b: bytes, similarity: float) -> bool:
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     if min(len(x), len(y)) < similarity * max(len(x), len(y)) - EPS:
@@ -68,38 +103,47 @@ def jaccard_at_least(a: bytes, b: bytes, similarity: float) -> bool:
     return shared >= similarity * (len(x) + len(y) - shared) - EPS
 
 
-def _hashes(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u8")
-
-
 def _tokens(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("similar")
         for batch in batches:
             for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(_hashes(shingle_set(x.as_py(), shingle)).astype(np.int64))], ["token"])
+                h = shingle_set(x.as_py(), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array((h if len(h) * SIMILARITY < LONG else h[:0]).view(np.int64))], ["token"])
 
     return run
 
 
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in values])].astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *values]), kind))
+
+
 def _prefixes(shingle: int, similarity: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("similar")
         known, counts = common.value
         for batch in batches:
-            size, out = [], []
+            size, sims, tokens, rest = [], [], [], []
             for x in batch.column(2):
-                h = _hashes(shingle_set(x.as_py(), shingle))
-                weight = np.zeros(len(h), np.int64)
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    weight = np.where(known[at] == h, counts[at], 0)
-                order = np.argsort(weight, kind="stable")  # h ascends already
-                size.append(len(h))
-                out.append(h[order[: prefix_length(len(h), similarity)]].astype(np.int64))
-            tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *out])))
-            fp = np.where(np.array(size, np.int64) > 0, batch.column(1).to_numpy(zero_copy_only=False), 0).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(size, pa.int32()), tokens], ["doc_id", "fp", "n", "tokens"])
+                h = shingle_set(x.as_py(), shingle)
+                n, keys, left = len(h), [], []
+                if 0 < n * similarity < LONG:
+                    weight = np.zeros(n, np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        weight = np.where(known[at] == h, counts[at], 0)
+                    order = np.argsort(weight, kind="stable")  # h ascends already
+                    keys.append(h[order[: prefix_length(n, similarity)]].view(np.int64))
+                    left.append(n - np.arange(len(keys[-1])))
+                if n >= LONG:
+                    keys.append(bands(h).view(np.int64))
+                    left.append(np.full(len(keys[-1]), n))
+                size.append(n)
+                sims.append(majority(h) if n else 0)
+                tokens.append(np.concatenate([np.empty(0, np.int64), *keys]))
+                rest.append(np.concatenate([np.empty(0, np.int64), *left]))
+            fps = [f if n else NO_WORD for f, n in zip(batch.column(1).to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sims, pa.int64()), pa.array(size, pa.int32()), _lists(tokens, pa.int64()), _lists(rest, pa.int32())], ["doc_id", "fp", "sim", "n", "tokens", "rests"])
 
     return run
 
@@ -108,7 +152,7 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("similar")
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), shingle) for x in batch.column(1)], pa.binary())], ["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), shingle).astype("<u8").tobytes() for x in batch.column(1)], pa.binary())], ["fp", "shingles"])
 
     return run
 
@@ -122,15 +166,69 @@ def _verify(similarity: float):
     return run
 
 
+def tile_pairs(sim: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs of different components within the radius whose sizes allow the similarity."""
+    pop = np.bitwise_count(sim).astype(np.int64)
+    order = np.argsort(pop, kind="stable")
+    sim, n, rest, comp, pop = (x[order] for x in (sim, n, rest, comp, pop))
+    tiles, us, vs = [slice(a, min(a + TILE, len(sim))) for a in range(0, len(sim), TILE)], [], []
+    for i, s in enumerate(tiles):
+        for t in tiles[i:]:
+            if pop[t.start] - pop[s.stop - 1] > radius:
+                break
+            near = (np.bitwise_count(sim[s, None] ^ sim[None, t]) <= radius) & (comp[s, None] != comp[None, t])
+            near &= np.minimum(n[s, None], n[None, t]) >= similarity * np.maximum(n[s, None], n[None, t]) - EPS
+            near &= np.minimum(rest[s, None], rest[None, t]) >= (n[s, None] + n[None, t]) * (similarity / (1 + similarity)) - EPS
+            a, b = np.nonzero(np.triu(near) if t is s else near)
+            us.append(order[a + s.start])
+            vs.append(order[b + t.start])
+    return (np.concatenate(us), np.concatenate(vs)) if us else (order[:0], order[:0])
+
+
+def _tiles(similarity: float, radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches):
+            key, sim, n, rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4))
+            sim, fp = sim.view(np.uint64), batch.column(1)
+            comp = np.unique(np.array(batch.column(5).to_pylist(), "S16"), return_inverse=True)[1]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            small, us, vs = np.flatnonzero(np.repeat(size <= SMALL, size)), [], []
+            for d in range(1, SMALL):  # pairs of small groups: rows against rows shifted
+                i, j = small[:-d], small[d:]
+                same = key[i] == key[j]
+                i, j = i[same], j[same]
+                lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                near = ((np.bitwise_count(sim[i] ^ sim[j]) <= radius) | (lo < SHORT)) & (comp[i] != comp[j]) & (lo >= similarity * hi - EPS)
+                near &= np.minimum(rest[i], rest[j]) >= (lo + hi) * (similarity / (1 + similarity)) - EPS
+                us.append(i[near])
+                vs.append(j[near])
+            for a, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+                own = n[a : a + m]
+                for rows, far in ((a + np.flatnonzero(own * similarity < SHORT), 64), (a + np.flatnonzero(own >= SHORT), radius)):
+                    u, v = tile_pairs(sim[rows], n[rows], rest[rows], comp[rows], similarity, far)
+                    us.append(rows[u])
+                    vs.append(rows[v])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            for k in range(0, len(u), PAIRS):
+                yield pa.RecordBatch.from_arrays([fp.take(pa.array(u[k : k + PAIRS])), fp.take(pa.array(v[k : k + PAIRS]))], ["u", "v"])
+
+    return run
+
+
+def identity(text: Column) -> Column:
+    """128 bits of the text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256), 1, 32))
+
+
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("binary")
-    return docs.select(F.xxhash64(text).alias("fp"), text.alias("text"))
+    return docs.select(identity(F.col(text_col)).alias("fp"), F.col(text_col).cast("binary").alias("text"))
 
 
 def _common(texts: DataFrame, shingle: int, sample: int):
     """Ascending shingles that several texts of a sample have, and their counts there."""
     step = max(1, -(-texts.count() // sample))
-    of = texts.where(F.pmod("fp", F.lit(step)) == 0).select("text").mapInArrow(_tokens(shingle), "token long")
+    of = texts.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").mapInArrow(_tokens(shingle), "token long")
     top = of.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
     known = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
@@ -138,58 +236,60 @@ def _common(texts: DataFrame, shingle: int, sample: int):
 
 
 def prefixes(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, fp, n, tokens) of each row, saved: fp names the text (0: no word), n is the number of its shingles, tokens is its prefix."""
-    texts = _texts(docs, text_col)
-    common = _common(texts, shingle, sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).select("doc_id", F.xxhash64("text").alias("fp"), "text")
-    out = ws.save(rows.mapInArrow(_prefixes(shingle, similarity, common), f"doc_id {id_type(docs, id_col)}, fp long, n int, tokens array<long>"))
+    """(doc_id, fp, sim, n, tokens, rests) of each row, saved: fp names the text, sim is its fingerprint, n the
+    number of its shingles, tokens are its keys, rests what is left of it from each on."""
+    common = _common(docs.select(F.col(text_col).cast("binary").alias("text")), shingle, sample)
+    rows = docs.select(F.col(id_col).alias("doc_id"), identity(F.col(text_col)).alias("fp"), F.col(text_col).cast("binary").alias("text"))
+    out = ws.save(rows.mapInArrow(_prefixes(shingle, similarity, common), f"doc_id {id_type(docs, id_col)}, fp binary, sim long, n int, tokens array<long>, rests array<int>"))
     common.unpersist()
     return out
 
 
-def similar_classes(ws: Workspace, docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, few: int = FEW) -> DataFrame:
+def similar_classes(ws: Workspace, docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, few: int = FEW, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(node, root) of the texts of docs that have a partner, by fp; rows is what prefixes() has made of docs."""
     texts = _texts(docs, text_col)
-    once = ws.save(rows.select("fp", "n", "tokens").dropDuplicates(["fp"]))
-    every = once.select(F.posexplode("tokens").alias("at", "token"), "fp", "n").select("token", "fp", "n", (F.col("n") - F.col("at")).alias("rest"))
+    once = rows.select("fp", "sim", "n", "tokens", "rests").dropDuplicates(["fp"])
+    every = once.select("fp", "sim", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("rests").alias("rest"))))
     shared = every.groupBy("token").count().where("count > 1").select("token")
-    lists = ws.save(every.join(shared, "token").withColumn("comp", F.col("fp")))
-    ws.drop(once)
+    lists = ws.save(every.join(shared, "token").select("token", "fp", "sim", "n", "rest", F.col("fp").alias("comp")))
     n_rows = lists.count()
     # At the first shingle that two share, what is left of either bounds the intersection.
     fits = (F.least("n", "m") >= F.greatest("n", "m") * similarity - EPS) & (F.least("rest", "r") >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - EPS)
+    fits = fits & ((F.least("n", "m") < SHORT) | (F.bit_count(F.col("sim").bitwiseXOR(F.col("s"))) <= radius))
 
     def near(pairs: DataFrame) -> DataFrame:
         pairs = ws.save(pairs.distinct())
         nodes = ws.save(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct())
         of = texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes, "fp", "left_semi").dropDuplicates(["fp"])
-        held = ws.save(of.mapInArrow(_sets(shingle), "fp long, shingles binary"))
+        held = ws.save(of.mapInArrow(_sets(shingle), "fp binary, shingles binary"))
         b = pairs.join(held.select(F.col("fp").alias("v"), F.col("shingles").alias("y")), "v")
         both = b.join(held.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u")
-        out = ws.save(both.select("u", "v", "x", "y").mapInArrow(_verify(similarity), "u long, v long"))
+        out = ws.save(both.select("u", "v", "x", "y").mapInArrow(_verify(similarity), "u binary, v binary"))
         for table in (pairs, nodes, held):
             ws.drop(table)
         return out
 
-    edges = ws.save(docs.sparkSession.createDataFrame([], "u long, v long"))
+    edges = ws.save(local_rows(docs.sparkSession, [], "u binary, v binary"))
     roots, before = None, math.inf
     for turn in range(STARS + 1):
-        heads = lists.groupBy("token").agg(F.min(F.struct("fp", "comp", "n", "rest")).alias("head"), F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        heads = lists.groupBy("token").agg(F.min(F.struct("fp", "comp", "sim", "n", "rest")).alias("head"), F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         open_ = ws.save(lists.join(heads.select("token", "head", "size"), "token"))
+        ws.drop(lists)
         left = open_.where("fp = head.fp").agg(F.sum(F.expr("size * (size - 1) / 2"))).first()[0] or 0
         if not left:
             break
         if last := left <= few * n_rows or left > before / 2 or turn == STARS:
-            a = open_.select("token", F.col("fp").alias("u"), F.col("n").alias("m"), F.col("rest").alias("r"), F.col("comp").alias("c"))
-            pairs = open_.join(a, "token").where((F.col("u") < F.col("fp")) & (F.col("c") != F.col("comp")) & fits).select("u", F.col("fp").alias("v"))
+            dealt = deal(open_.select("token", "fp", "sim", "n", "rest", "comp"), "token", "fp", block_rows)
+            pairs = dealt.mapInArrow(_tiles(similarity, radius), "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         else:
-            a = open_.withColumn("m", F.col("head.n")).withColumn("r", F.col("head.rest"))
+            a = open_.withColumn("m", F.col("head.n")).withColumn("r", F.col("head.rest")).withColumn("s", F.col("head.sim"))
             pairs = a.where((F.col("comp") != F.col("head.comp")) & fits).select(F.col("head.fp").alias("u"), F.col("fp").alias("v"))
         edges = ws.save(edges.unionByName(near(pairs)))
-        roots = connected_components(edges, "u", "v").checkpoint(eager=True)
+        roots = connected_components(edges, "u", "v")
         if last:
             break
         before = left
-        others = open_.where("fp <> head.fp").select("token", "fp", "n", "rest", "comp")
-        lists = ws.save(others.join(roots, others["fp"] == roots["node"], "left").select("token", "fp", "n", "rest", F.coalesce("root", "fp").alias("comp")))
+        others = open_.where("fp <> head.fp").select("token", "fp", "sim", "n", "rest", "comp")
+        lists = ws.save(others.join(roots, others["fp"] == roots["node"], "left").select("token", "fp", "sim", "n", "rest", F.coalesce("root", "fp").alias("comp")))
+        ws.drop(open_)
     return roots if roots is not None else connected_components(edges, "u", "v")

@@ -76,5 +76,9 @@ def test_large_group_forest():
 def test_empty_table_nulls_and_dedup(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.classes(empty).count() == 0
-    docs = spark.createDataFrame([(3, "a b c d", 1), (1, "a b c d", 2), (None, "a b c d", 3), (2, "q r s t u v w", 4), (2, "q r s t u v w", 5)], "doc_id long, text string, fp int")
-    assert sorted((r.doc_id or 0, r.fp) for r in simhash.near_dedup(docs).collect()) == [(0, 3), (1, 2), (2, 4), (2, 5)]
+    rows = [(3, "a b c d", 1), (1, "a b c d", 2), (None, "a b c d", 3), (2, "q r s t u v w", 4), (2, "q r s t u v w", 4)]
+    rows += [(1, "wholly other words that no one else has", 5), (None, "alone with no id", 6), (None, "alone with no id", 6), (7, None, 7), (8, " \n", 8), (9, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    # one row of each class: repeated ids with other texts are judged apart, repeated rows are one
+    assert sorted((r.doc_id or 0, r.fp) for r in simhash.near_dedup(docs).collect()) == [(0, 6), (1, 2), (1, 5), (2, 4), (7, 7)]
+    assert simhash.near_dedup(docs.limit(0)).count() == 0
