@@ -1,15 +1,20 @@
 """Language identification by nearest centroids.
 
 A text becomes a vector of hashed character n-grams (1 to 3, letters folded to lower case, all else
-one blank), weighed by (1 + log count) times inverse document frequency and normalised. Each
+one blank), weighed by log(1 + count) times inverse document frequency and normalised. Each
 language has several centroids, found by spherical k-means over its training vectors; a text gets
 the language of the centroid of the largest cosine. A text whose cosine is below its centroid's
 limit is rejected: the limit is ``slack`` times the smallest cosine of that centroid's own
 training texts, at least ``floor``, so texts like those that were learned from stay.
 
 Fitted on at most ``per_language`` labelled texts of each language, those of the smallest hashed id,
-whole. Null texts and texts without a letter get ``und`` with score 0 and are rejected. Without any
-labelled row, every text is ``und``. Repeated rows stay; other columns are not looked at.
+whole, and at most ``sample`` texts in all: with more languages each gives fewer. More than
+``max_languages`` languages are refused, as the centroids are broadcast. Of an id's several texts in
+one language the smallest is taken. Only n-gram counts come to the driver, at most 6 << BITS bytes a
+text. Null texts and texts without a letter get ``und`` with score 0 and are rejected. Without any
+labelled row, an empty table included, every text is ``und``. Of equal cosines the first language by
+name wins. A text is held whole by one task, one at a time. Repeated rows stay; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import enter, id_type, prepare
+from .common import enter, id_type, local_rows, prepare
 
 BITS = 13
 ORDERS = 3
@@ -31,7 +36,8 @@ CENTROIDS = 4
 SLACK = 0.25
 FLOOR = 0.05
 SEED = 5
-MAX_LANGUAGES = 200
+SAMPLE = 6000
+MAX_LANGUAGES = 500
 SALTS = 8
 UND = "und"
 
@@ -97,8 +103,8 @@ class Model:
         return self.languages[self.of[best]], float(min(1.0, max(0.0, cos[best]))), bool(cos[best] < self.limit[best])
 
 
-def fit(texts: list[str], langs: list[str], k: int = CENTROIDS, slack: float = SLACK, floor: float = FLOOR, seed: int = SEED) -> Model:
-    rows = [(c, x) for t, x in zip(texts, langs) if (c := grams(t)) is not None]
+def fit(rows: list[tuple[np.ndarray, str]], k: int = CENTROIDS, slack: float = SLACK, floor: float = FLOOR, seed: int = SEED) -> Model:
+    """rows: (n-gram counts, language), in a fixed order."""
     names = sorted({x for _, x in rows})
     if not rows:
         return Model([], np.ones(1 << BITS, np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros(0))
@@ -125,21 +131,42 @@ def fit(texts: list[str], langs: list[str], k: int = CENTROIDS, slack: float = S
     return Model(names, idf, np.stack(centroids).astype(np.float32), np.array(of), np.array(limits))
 
 
-def train(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, **options) -> Model:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_id, _lang, buckets as 16-bit and counts as 32-bit integers) of texts with a letter."""
+    enter("langid")
+    for batch in batches:
+        for i, t in enumerate(batch.column(2)):
+            if (c := grams(t.as_py())) is not None:
+                at = np.flatnonzero(c)
+                own = [pa.array([at.astype("<u2").tobytes()]), pa.array([np.minimum(c[at], 2**32 - 1).astype("<u4").tobytes()])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *own], ["_id", "_lang", "_at", "_n"])
+
+
+def train(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES, **options) -> Model:
     """The sample is chosen by ids alone, so that only chosen rows' texts move."""
-    prepare(docs.sparkSession)
-    ids = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).agg(F.lit(1))
+    spark = prepare(docs.sparkSession)
+    kind = id_type(docs, id_col)
+    labelled = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    languages = len(labelled.select(lang_col).distinct().limit(max_languages + 1).collect())
+    if not languages:
+        return fit([], **options)
+    if languages > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    most = max(1, min(per_language, sample // languages))
+    ids = labelled.groupBy(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).agg(F.lit(1))
     salted = ids.select("_id", "_lang", F.xxhash64("_id").alias("_h")).withColumn("_s", F.pmod("_h", F.lit(SALTS)))
-    some = salted.withColumn("_n", F.row_number().over(W.partitionBy("_lang", "_s").orderBy("_h", "_id"))).where(F.col("_n") <= per_language)
-    few = some.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_h", "_id"))).where(F.col("_n") <= per_language)
-    chosen = few.select("_id", "_lang").limit(per_language * MAX_LANGUAGES).collect()  # bounded by both parameters
-    if not chosen:
-        return fit([], [], **options)
-    want = docs.sparkSession.createDataFrame(chosen, f"_id {id_type(docs, id_col)}, _lang string")
+    some = salted.withColumn("_n", F.row_number().over(W.partitionBy("_lang", "_s").orderBy("_h", "_id"))).where(F.col("_n") <= most)
+    few = some.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_h", "_id"))).where(F.col("_n") <= most)
+    chosen = few.select("_id", "_lang").collect()  # at most ``most`` of each language
+    want = local_rows(spark, [tuple(r) for r in chosen], f"_id {kind}, _lang string")
     found = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).join(F.broadcast(want), ["_id", "_lang"]).where(F.col("_text").isNotNull())
-    one = found.groupBy("_id", "_lang").agg(F.min("_text").alias("_text")).collect()
-    one.sort(key=lambda r: (r["_lang"], r["_id"]))
-    return fit([r["_text"] for r in one], [r["_lang"] for r in one], **options)
+    one = found.groupBy("_id", "_lang").agg(F.min("_text").alias("_text")).mapInArrow(_counts, f"_id {kind}, _lang string, _at binary, _n binary")
+    rows = []
+    for r in sorted(one.collect(), key=lambda r: (r["_lang"], r["_id"])):
+        c = np.zeros(1 << BITS, np.int64)
+        c[np.frombuffer(r["_at"], "<u2")] = np.frombuffer(r["_n"], "<u4")
+        rows.append((c, r["_lang"]))
+    return fit(rows, **options)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,6 +14,10 @@ source) come to the driver; their number is checked against MAX_SOURCES.
 
 Null and empty texts have no words: they take no block, and none is taken of them. Null ids and
 repeated rows are kept, each with words of its own. All draws are keyed by ``seed``: reruns agree.
+Ties in the order of documents are settled by size and by a hash of the row. A long text is as many
+blocks as it needs; a part of it is a row of numbers, never words. An empty table gives empty ones.
+Columns beside doc_id, text and source are not looked at, whatever their names; ``mixed_documents``
+knows a row by 128 bits of the SHA-256 of all its columns and passes them through.
 """
 
 from __future__ import annotations
@@ -25,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, prepare, running_offset
+from .common import WORD, local_rows, n_words, prepare, running_offset
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 64
 OUT_SHARDS = 64
 SEED = 17
-MAX_SOURCES = 1_000_000
+MAX_SOURCES = 20_000
 RANGE = 1 << 20
 
 
@@ -139,13 +143,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOC
     goal = targets(sizes, weights, cap)
     blocks = [-(-n // block_words) for n in sizes]
     counts = np.array([min(cap * b, round(t * b / n)) if n else 0 for t, b, n in zip(goal, blocks, sizes)], np.int64)
-    ranges, first = [], np.zeros(len(sums), np.int64)
-    for k, row in enumerate(draw(counts, out_shards, seed) if counts.sum() else []):
-        for s in np.flatnonzero(row).tolist():
-            ranges += [(s, k, int(first[s]) + a, min(RANGE, int(row[s]) - a), blocks[s]) for a in range(0, int(row[s]), RANGE)]
-            first[s] += row[s]
-    slots = spark.createDataFrame(ranges, "sidx int, shard int, first long, n long, blocks long").mapInArrow(_slots(seed), "sidx int, block long, shard int, slot long")
-    kinds = spark.createDataFrame([(i, r.source, r.n, t) for i, (r, t) in enumerate(zip(sums, goal))], "sidx int, _source string, source_size long, target double")
+    drawn = draw(counts, out_shards, seed) if counts.sum() else np.zeros((0, len(sums)), np.int64)
+    shard, sidx = np.nonzero(drawn)
+    first, n = (np.cumsum(drawn, axis=0) - drawn)[shard, sidx], drawn[shard, sidx]
+    parts = -(-n // RANGE)
+    at = np.repeat(np.arange(len(n)), parts)
+    off = (np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)) * RANGE
+    ranges = pa.table({"sidx": pa.array(sidx[at], pa.int32()), "shard": pa.array(shard[at], pa.int32()), "first": first[at] + off, "n": np.minimum(RANGE, n[at] - off), "blocks": np.array(blocks, np.int64)[sidx[at]]})
+    slots = spark.createDataFrame(ranges).mapInArrow(_slots(seed), "sidx int, block long, shard int, slot long")
+    kinds = local_rows(spark, [(i, r.source, r.n, t) for i, (r, t) in enumerate(zip(sums, goal))], "sidx int, _source string, source_size long, target double")
     named = base.join(kinds, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
     rows = running_offset(named, ["sidx"], ["doc_id", "size", "_key"], F.col("size"), "start").checkpoint(eager=True)
     b = F.lit(block_words)
@@ -156,6 +162,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOC
     return Mix(rows, parts, slots)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of the SHA-256 of all columns; strings with their lengths, all else as JSON, nulls apart."""
+    text = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c))
+    one = [F.coalesce(text(f.name) if f.dataType.typeName() == "string" else F.to_json(F.struct(f.name)), F.lit("-")) for f in docs.schema]
+    return F.unhex(F.substring(F.sha2(F.concat(*one), 256), 1, 32))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: docs' columns, one row for each document and epoch.
 
@@ -163,11 +176,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     row is the document as it was; else their words, runs of blocks parted by line breaks.
     """
     names = docs.columns
-    row_key = F.xxhash64(*[F.col(c) for c in names])
-    m = mix(docs, key=row_key, **options)
+    m = mix(docs, key=row_key(docs), **options)
     times = m.taken_parts().select("_key", "sidx", "start", "size", "at", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("epoch"))
     copy = times.groupBy("_key", "sidx", "start", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("_runs"), F.sum("length").alias("_words"))
-    once = docs.withColumn("_key", row_key).groupBy("_key").agg(F.first(F.struct(*names)).alias("_row"))
+    once = docs.select(row_key(docs).alias("_key"), F.struct(*names).alias("_row")).groupBy("_key").agg(F.first("_row").alias("_row"))
     both = once.join(copy, "_key")
     words = F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0))
     follows = lambda r, i: F.get("_runs", i + 1)["at"] == r["at"] + r["length"]

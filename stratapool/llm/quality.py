@@ -6,10 +6,12 @@ grown from each feature on two thirds of the labelled statistics by information
 is precise enough, and what it covers is taken out before the next one. ``DecisionList.verdict`` is
 the list as one ordered CASE expression.
 
-The list is fitted on at most ``sample`` labelled rows, those of the smallest hashed id; only their
-statistics come to the driver. Without labels the list is empty and keeps everything. Null and
-empty texts have no words, and all counts 0. Repeated rows stay. Windows of three words are compared
-by a 64-bit hash less the bits that number the text's words (54 bits for a text of 1000 words).
+The list is fitted on at most ``sample`` labelled ids, those of the smallest hash, one text each (the
+smallest); only their statistics come to the driver. Without labels the list is empty and keeps
+everything. Null and empty texts have no words, and all counts 0. Repeated rows stay; an empty table
+gives an empty one. Windows of three words are sorted by a 64-bit hash and their place, and windows of
+equal hash count as equal only if their words are, whatever the text's length. A text's arrays are held
+by one task.
 """
 
 from __future__ import annotations
@@ -38,15 +40,19 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     base = df.select(*[F.col(c) for c in keep], text.alias("_t"), F.when(F.length(trimmed) > 0, F.split(trimmed, BLANK)).otherwise(F.array().cast("array<string>")).alias("_w"))
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     base = base.select(*keep, "_t", "_w", lines.alias("_l"), F.size("_w").cast("long").alias("n_words"))
-    base = base.withColumn("_m", F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("n_words"))) - 1)
-    high = F.bitwise_not(F.col("_m"))
     hashed = F.transform(
         F.slice("_w", F.lit(1), F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int")),
-        lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long")),
+        lambda x, i: F.struct(F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")),
     )
     base = base.withColumn("_h", F.sort_array(hashed))
-    same = lambda x, i: F.coalesce(x.bitwiseXOR(F.get("_h", i)).between(F.lit(0), F.col("_m")), F.lit(False))
-    found = F.sort_array(F.transform(F.filter("_h", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x.bitwiseAND(F.col("_m"))))
+
+    def same(x: Column, other: Column) -> Column:
+        words = F.lit(True)
+        for k in range(3):
+            words = words & (F.get("_w", x["i"] + k) == F.get("_w", other["i"] + k))
+        return F.coalesce((x["h"] == other["h"]) & words, F.lit(False))
+
+    found = F.sort_array(F.transform(F.filter("_h", lambda x, i: same(x, F.get("_h", i - 1)) | same(x, F.get("_h", i + 1))), lambda x: x["i"].cast("long")))
     zero = F.struct(F.lit(-3).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(found, zero, lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(F.lit(3).cast("long"), p - a["at"])).alias("n")), lambda a: a["n"])
     return base.select(
@@ -180,8 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_good"))
     some = own.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
-    got = statistics(rows, "_text").select("_id", "_good", *STATS).limit(2 * sample).collect()
-    got.sort(key=lambda r: (str(r["_id"]), *(r[s] for s in STATS)))
+    one = rows.groupBy("_id", "_good").agg(F.min("_text").alias("_text"))
+    got = statistics(one, "_text").select("_id", "_good", *STATS).collect()  # at most ``sample`` rows of counts
+    got.sort(key=lambda r: str(r["_id"]))
     return learn([(features_of(r), bool(r["_good"])) for r in got], **options)
 
 

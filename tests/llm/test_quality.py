@@ -16,7 +16,7 @@ def brute(text):
     return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered)}
 
 
-CASES = [None, "", " \n\t ", "a", "a b", "a b c", "a b c a b c", "a a a a", "x\ny\nx\n\nx \n", "é ü\x0bß|<>##", "a b c d a b c e b c d", "  z z", "w " * 4000]
+CASES = [None, "", " \n\t ", "a", "a b", "a b c", "a b c a b c", "a a a a", "x\ny\nx\n\nx \n", "é ü\x0bß|<>##", "a b c d a b c e b c d", "  z z", "w " * 4000, " ".join(f"v{i * i % 9973}" for i in range(30_000))]
 
 
 def test_statistics_against_brute_force(spark, sf_dir):

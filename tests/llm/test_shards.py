@@ -37,3 +37,7 @@ def test_slots_gapless_with_ties_nulls_and_other_columns(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert len({r.shard for r in got if r.doc_id == 7}) == 1
     assert shards.assign(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    mask = 2**64 - 1
+    key = {r.doc_id: r.h for r in spark.createDataFrame([(d,) for d in {d for d, _, _ in rows}], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
+    for r in got:  # the shards of Spark's path are those of the scalar definition
+        assert (r.shard, r.grown_shard) == (brute_jump(key[r.doc_id] & mask, 24), brute_jump(key[r.doc_id] & mask, 25))
