@@ -121,7 +121,7 @@ class Mix:
 
     def taken_parts(self) -> DataFrame:
         times = self.slots.groupBy("sidx", "block").agg(F.count("*").alias("times"))
-        return self.parts.join(times, ["sidx", "block"])
+        return self.parts.join(times.hint("merge"), ["sidx", "block"])  # as large as the mix, whatever its ranges' size
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken), one row a document."""

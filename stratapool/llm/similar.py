@@ -11,12 +11,12 @@ of that similarity share, and only rows under one key are compared:
 * From ``LONG`` on, BINS // BAND bands of BAND minima, one for each of BINS parts of the hash range: a
   pair of similarity s misses all of them with probability (1 - s ** BAND) ** (BINS // BAND), 3e-6 at
   0.8. Texts up to LONG / similarity have both kinds of keys, so mixed pairs meet as well.
-* Under a key, rows whose fingerprints differ in more than RADIUS bits (at 0.8: one pair in a million)
-  are not compared; of fewer than SHORT shingles all are. First one row of each key is compared with
-  all others, and components are formed; keys whose rows lie in one component are done. So a large
-  group of near copies costs about its size. When the pairs left are few, or that no longer halves
-  them, numpy compares tiles of what is left by exclusive-or and bit counts, skipping tile pairs whose
-  population counts differ beyond the radius.
+* Under a key, numpy compares tiles of rows by exclusive-or and bit counts, skipping tile pairs whose
+  population counts differ beyond RADIUS bits. Pairs beyond it (at 0.8: one in a million) are left out;
+  of fewer than SHORT shingles none is. First each row is only paired with its nearest one, and
+  components are formed; keys whose rows lie in one component are done, so a large group of near
+  copies costs about its size. When the pairs left are few, or after TURNS turns, all that are left
+  between different components are compared.
 * Each pair found is verified by the exact intersection of the two sets of shingle hashes. The sets
   are never stored for all texts: those of the nodes to compare are made again from the texts.
 
@@ -44,9 +44,8 @@ RADIUS, SHORT = 24, 16
 LONG, BINS, BAND = 256, 96, 4
 SAMPLE = 10_000
 COMMON = 200_000
-STARS = 8
-BROADCAST = 500_000
-FEW = 8
+TURNS = 2
+FEW = 1
 TILE, SMALL, PAIRS = 512, 16, 1 << 16
 BLOCK_ROWS = 1 << 16
 EPS = 1e-9
@@ -166,31 +165,55 @@ def _verify(similarity: float):
     return run
 
 
-def tile_pairs(sim: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the pairs of different components within the radius whose sizes allow the similarity."""
-    pop = np.bitwise_count(sim).astype(np.int64)
-    order = np.argsort(pop, kind="stable")
-    sim, n, rest, comp, pop = (x[order] for x in (sim, n, rest, comp, pop))
-    tiles, us, vs = [slice(a, min(a + TILE, len(sim))) for a in range(0, len(sim), TILE)], [], []
-    for i, s in enumerate(tiles):
-        for t in tiles[i:]:
-            if pop[t.start] - pop[s.stop - 1] > radius:
-                break
-            near = (np.bitwise_count(sim[s, None] ^ sim[None, t]) <= radius) & (comp[s, None] != comp[None, t])
-            near &= np.minimum(n[s, None], n[None, t]) >= similarity * np.maximum(n[s, None], n[None, t]) - EPS
-            near &= np.minimum(rest[s, None], rest[None, t]) >= (n[s, None] + n[None, t]) * (similarity / (1 + similarity)) - EPS
-            a, b = np.nonzero(np.triu(near) if t is s else near)
-            us.append(order[a + s.start])
-            vs.append(order[b + t.start])
-    return (np.concatenate(us), np.concatenate(vs)) if us else (order[:0], order[:0])
-
-
-def _tiles(similarity: float, radius: int):
+class Group:
+    """Rows that may be compared: fingerprints, sizes, what is left from their key on, components."""
+
+    def __init__(self, sim: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarray, similarity: float, radius: int):
+        self.sim, self.n, self.rest, self.comp, self.similarity, self.radius = sim, n, rest, comp, similarity, radius
+
+    def fits(self, i, j) -> np.ndarray:
+        """If the rows are of different components and their sizes allow the similarity; indexes that broadcast."""
+        lo, hi = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        out = (self.comp[i] != self.comp[j]) & (lo >= self.similarity * hi - EPS)
+        return out & (np.minimum(self.rest[i], self.rest[j]) >= (lo + hi) * (self.similarity / (1 + self.similarity)) - EPS)
+
+    def pairs(self, rows: np.ndarray, radius: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows that fit within the radius, by tiles; nearest: for each row only the one of the
+        fewest bits. Tile pairs whose population counts differ beyond the radius are skipped."""
+        rows = rows[np.argsort(np.bitwise_count(self.sim[rows]), kind="stable")]
+        pop = np.bitwise_count(self.sim[rows]).astype(np.int64)
+        tiles, us, vs = [slice(a, min(a + TILE, len(rows))) for a in range(0, len(rows), TILE)], [], []
+        for i, s in enumerate(tiles):
+            own, least = rows[s], np.full(s.stop - s.start, 255, np.uint8)
+            mate = own.copy()
+            for t in tiles if nearest else tiles[i:]:
+                if pop[t.start] - pop[s.stop - 1] > radius:
+                    break
+                if pop[s.start] - pop[t.stop - 1] > radius:
+                    continue
+                bits = np.bitwise_count(self.sim[own, None] ^ self.sim[None, rows[t]])
+                near = (bits <= radius) & self.fits(own[:, None], rows[None, t])
+                if nearest:
+                    bits[~near] = 255
+                    at = bits.argmin(axis=1)
+                    less = bits[np.arange(len(own)), at]
+                    mate, least = np.where(less < least, rows[t][at], mate), np.minimum(less, least)
+                else:
+                    a, b = np.nonzero(np.triu(near) if t is s else near)
+                    us.append(own[a])
+                    vs.append(rows[t][b])
+            if nearest:
+                us.append(own[least < 255])
+                vs.append(mate[least < 255])
+        return (np.concatenate(us), np.concatenate(vs)) if us else (rows[:0], rows[:0])
+
+
+def _tiles(similarity: float, radius: int, nearest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches):
             key, sim, n, rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4))
-            sim, fp = sim.view(np.uint64), batch.column(1)
-            comp = np.unique(np.array(batch.column(5).to_pylist(), "S16"), return_inverse=True)[1]
+            fp, comp = batch.column(1), np.unique(np.array(batch.column(5).to_pylist(), "S16"), return_inverse=True)[1]
+            g = Group(sim.view(np.uint64), n, rest, comp, similarity, radius)
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
             small, us, vs = np.flatnonzero(np.repeat(size <= SMALL, size)), [], []
@@ -198,17 +221,15 @@ def _tiles(similarity: float, radius: int):
                 i, j = small[:-d], small[d:]
                 same = key[i] == key[j]
                 i, j = i[same], j[same]
-                lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                near = ((np.bitwise_count(sim[i] ^ sim[j]) <= radius) | (lo < SHORT)) & (comp[i] != comp[j]) & (lo >= similarity * hi - EPS)
-                near &= np.minimum(rest[i], rest[j]) >= (lo + hi) * (similarity / (1 + similarity)) - EPS
+                near = ((np.bitwise_count(g.sim[i] ^ g.sim[j]) <= radius) | (np.minimum(n[i], n[j]) < SHORT)) & g.fits(i, j)
                 us.append(i[near])
                 vs.append(j[near])
             for a, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
                 own = n[a : a + m]
                 for rows, far in ((a + np.flatnonzero(own * similarity < SHORT), 64), (a + np.flatnonzero(own >= SHORT), radius)):
-                    u, v = tile_pairs(sim[rows], n[rows], rest[rows], comp[rows], similarity, far)
-                    us.append(rows[u])
-                    vs.append(rows[v])
+                    u, v = g.pairs(rows, far, nearest)
+                    us.append(u)
+                    vs.append(v)
             u, v = np.concatenate(us), np.concatenate(vs)
             for k in range(0, len(u), PAIRS):
                 yield pa.RecordBatch.from_arrays([fp.take(pa.array(u[k : k + PAIRS])), fp.take(pa.array(v[k : k + PAIRS]))], ["u", "v"])
@@ -245,7 +266,7 @@ def prefixes(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: s
     return out
 
 
-def similar_classes(ws: Workspace, docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, few: int = FEW, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_classes(ws: Workspace, docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, few: float = FEW, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(node, root) of the texts of docs that have a partner, by fp; rows is what prefixes() has made of docs."""
     texts = _texts(docs, text_col)
     once = rows.select("fp", "sim", "n", "tokens", "rests").dropDuplicates(["fp"])
@@ -253,43 +274,33 @@ def similar_classes(ws: Workspace, docs: DataFrame, rows: DataFrame, text_col: s
     shared = every.groupBy("token").count().where("count > 1").select("token")
     lists = ws.save(every.join(shared, "token").select("token", "fp", "sim", "n", "rest", F.col("fp").alias("comp")))
     n_rows = lists.count()
-    # At the first shingle that two share, what is left of either bounds the intersection.
-    fits = (F.least("n", "m") >= F.greatest("n", "m") * similarity - EPS) & (F.least("rest", "r") >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - EPS)
-    fits = fits & ((F.least("n", "m") < SHORT) | (F.bit_count(F.col("sim").bitwiseXOR(F.col("s"))) <= radius))
 
     def near(pairs: DataFrame) -> DataFrame:
         pairs = ws.save(pairs.distinct())
-        nodes = ws.save(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct())
-        of = texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes, "fp", "left_semi").dropDuplicates(["fp"])
+        nodes = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+        of = texts.join(nodes, "fp", "left_semi").dropDuplicates(["fp"])
         held = ws.save(of.mapInArrow(_sets(shingle), "fp binary, shingles binary"))
         b = pairs.join(held.select(F.col("fp").alias("v"), F.col("shingles").alias("y")), "v")
         both = b.join(held.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u")
         out = ws.save(both.select("u", "v", "x", "y").mapInArrow(_verify(similarity), "u binary, v binary"))
-        for table in (pairs, nodes, held):
-            ws.drop(table)
+        ws.drop(pairs)
+        ws.drop(held)
         return out
 
     edges = ws.save(local_rows(docs.sparkSession, [], "u binary, v binary"))
-    roots, before = None, math.inf
-    for turn in range(STARS + 1):
-        heads = lists.groupBy("token").agg(F.min(F.struct("fp", "comp", "sim", "n", "rest")).alias("head"), F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        open_ = ws.save(lists.join(heads.select("token", "head", "size"), "token"))
-        ws.drop(lists)
-        left = open_.where("fp = head.fp").agg(F.sum(F.expr("size * (size - 1) / 2"))).first()[0] or 0
+    roots = None
+    for turn in range(TURNS + 1):
+        sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        left = sizes.agg(F.sum(F.expr("size * (size - 1) / 2"))).first()[0] or 0
         if not left:
             break
-        if last := left <= few * n_rows or left > before / 2 or turn == STARS:
-            dealt = deal(open_.select("token", "fp", "sim", "n", "rest", "comp"), "token", "fp", block_rows)
-            pairs = dealt.mapInArrow(_tiles(similarity, radius), "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        else:
-            a = open_.withColumn("m", F.col("head.n")).withColumn("r", F.col("head.rest")).withColumn("s", F.col("head.sim"))
-            pairs = a.where((F.col("comp") != F.col("head.comp")) & fits).select(F.col("head.fp").alias("u"), F.col("fp").alias("v"))
+        last = turn > 0 and left <= few * n_rows or turn == TURNS
+        dealt = deal(lists.join(sizes.select("token"), "token"), "token", "fp", block_rows)
+        pairs = dealt.mapInArrow(_tiles(similarity, radius, not last), "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         edges = ws.save(edges.unionByName(near(pairs)))
         roots = connected_components(edges, "u", "v")
         if last:
             break
-        before = left
-        others = open_.where("fp <> head.fp").select("token", "fp", "sim", "n", "rest", "comp")
-        lists = ws.save(others.join(roots, others["fp"] == roots["node"], "left").select("token", "fp", "sim", "n", "rest", F.coalesce("root", "fp").alias("comp")))
-        ws.drop(open_)
+        lists, old = ws.save(lists.drop("comp").join(roots, lists["fp"] == roots["node"], "left").select("token", "fp", "sim", "n", "rest", F.coalesce("root", "fp").alias("comp"))), lists
+        ws.drop(old)
     return roots if roots is not None else connected_components(edges, "u", "v")

@@ -70,6 +70,23 @@ def test_all_paths_give_the_same_classes(spark):
     assert got[0] and got[0] == got[1] == got[2]
 
 
+def test_nearest_and_all_pairs_of_a_group():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sim = rng.integers(0, 2**63, 1500).astype(np.uint64)
+    sim[700:] = sim[5] ^ (np.uint64(1) << rng.integers(0, 64, 800).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 800).astype(np.uint64))
+    n, comp = rng.integers(80, 120, 1500), rng.integers(0, 900, 1500)
+    g = similar.Group(sim, n, n, comp, 0.8, 24)
+    bits = np.bitwise_count(sim[:, None] ^ sim[None, :])
+    ok = (bits <= 24) & g.fits(np.arange(1500)[:, None], np.arange(1500)[None, :])
+    u, v = g.pairs(np.arange(1500), 24, False)
+    assert {(min(a, b), max(a, b)) for a, b in zip(u.tolist(), v.tolist())} == set(zip(*(x.tolist() for x in np.nonzero(np.triu(ok)))))
+    u, v = g.pairs(np.arange(1500), 24, True)
+    best = np.where(ok, bits, 255).min(axis=1)
+    assert sorted(u.tolist()) == np.flatnonzero(best < 255).tolist() and (bits[u, v] == best[u]).all()
+
+
 def test_pipeline_stage_against_brute_force_jaccard(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, sf_dir)
