@@ -72,6 +72,45 @@ def clean_mount(raw: str) -> str:
     return out if out.startswith("/") else "/" + out
 
 
+def _cleaned(path: Column, rooted: bool) -> Column:
+    """The names of a path without '.' and with '..' resolved; those that lead above the start stay if it isn't rooted."""
+    up = F.array(F.lit(".."))
+    names = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    top = lambda a: F.coalesce(F.element_at(F.concat(up, a), -1), F.lit(".."))
+    return F.aggregate(
+        names,
+        F.array().cast("array<string>"),
+        lambda a, x: F.when(x != "..", F.concat(a, F.array(x))).when(top(a) != "..", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a if rooted else F.concat(a, up)),
+    )
+
+
+def clean_path(raw: Column | str) -> Column:
+    """clean() of a column."""
+    return F.concat(F.lit("/"), F.array_join(_cleaned(_col(raw), True), "/"))
+
+
+def clean_mount_path(raw: Column | str) -> Column:
+    """clean_mount() of a column."""
+    p = _col(raw)
+    bare = F.array_join(_cleaned(p, False), "/")
+    rooted = p.startswith("/")
+    return F.when(rooted, clean_path(p)).otherwise(F.concat(F.lit("/"), F.when(bare == "", F.lit(".")).otherwise(bare)))
+
+
+def join_paths(*names: Column | str) -> Column:
+    """join() of columns."""
+    out = F.regexp_replace(F.concat_ws("/", *[_col(n) for n in names]), "/+", "/")
+    out = F.when(F.length(out) > 1, F.regexp_replace(out, "/$", "")).otherwise(out)
+    return F.when(out == "", F.lit("/")).otherwise(out)
+
+
+def virtual_path(local: Column | str, root: str) -> Column:
+    """A local path below root as a rooted path of the catalog, with slashes; of root itself: '/.'."""
+    p = F.replace(_col(local), F.lit("\\"), F.lit("/"))
+    own = root.replace("\\", "/").rstrip("/") + "/"
+    return F.concat(F.lit("/"), F.when(F.concat(p, F.lit("/")) == own, F.lit(".")).otherwise(F.substring(p, len(own) + 1, 1 << 30)))
+
+
 def join(*names: str) -> str:
     out = "/".join(names)
     while "//" in out:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from . import catalog as q
+from .order import with_previous
 
 GRACE_SECONDS = 600
 STOP_COUNT, STOP_SHARE = 10, 0.5
@@ -36,8 +37,8 @@ def storage_status(providers: DataFrame, locations: DataFrame, chunks: DataFrame
 def remotes_active(providers: DataFrame, selection: DataFrame) -> DataFrame:
     """selection: (remote). Every remote is active if nothing is selected."""
     s = selection.select(F.col("remote").alias("rclone_remote")).distinct().withColumn("chosen", F.lit(True))
-    none = selection.limit(1).count() == 0
-    return providers.join(s, "rclone_remote", "left").select("rclone_remote", "type", (F.lit(none) | F.coalesce("chosen", F.lit(False))).alias("active"))
+    none = selection.agg((F.count("*") == 0).alias("none"))
+    return providers.join(s, "rclone_remote", "left").join(F.broadcast(none), on=F.lit(True)).select("rclone_remote", "type", (F.col("none") | F.coalesce("chosen", F.lit(False))).alias("active"))
 
 
 def missing_providers(providers: DataFrame, available: DataFrame) -> DataFrame:
@@ -69,62 +70,77 @@ def provider_sync(providers: DataFrame, remotes: DataFrame, allowed: list[str] |
 # Reconciliation of what the catalog knows with what the providers list.
 
 
-def listed_paths(listing: DataFrame, directory: str = "chunks") -> DataFrame:
-    """(provider_id, remote_path, mtime) of listed objects, with the directory in front of each."""
-    return listing.where(~F.col("is_dir")).select("provider_id", text.under_directory(directory, F.col("path")).alias("remote_path"), "mtime")
+def reconcile(locations: DataFrame, listing: DataFrame, directory: str = "chunks") -> DataFrame:
+    """(provider_id, remote_path, known, listed, missing, mtime): each object that the catalog or a provider has.
+
+    A listed object goes by its path, with the directory in front where that lacks. A known object is
+    there if the listing has its path, the directory and its name, or its bare name; else it is missing.
+    All of these have one base name, so both sides are united by (provider, base name): each row is
+    shuffled once, no join is needed, and no task holds a provider.
+    """
+    none = F.lit(None).cast("long")
+    here = locations.select("provider_id", "remote_path", F.lit(1).alias("known"), F.lit(0).alias("listed"), F.lit(0).alias("vouched"), none.alias("mtime"))
+    own, named = text.under_directory(directory, F.col("path")), F.concat(F.lit(directory + "/"), F.col("name"))
+    each = listing.where(~F.col("is_dir")).withColumn("remote_path", F.explode(F.array_distinct(F.array(own, F.col("path"), named))))
+    as_listed = F.col("remote_path") == own
+    vouched = (F.col("remote_path") == F.col("path")) | (F.col("remote_path") == named)
+    there = each.select("provider_id", "remote_path", F.lit(0).alias("known"), as_listed.cast("int").alias("listed"), vouched.cast("int").alias("vouched"), F.when(as_listed, F.col("mtime")).alias("mtime"))
+    both = here.unionByName(there).withColumn("_base", paths.base("remote_path")).repartition("provider_id", "_base")
+    sums = both.groupBy("provider_id", "_base", "remote_path").agg(*[F.max(c).alias(c) for c in ("known", "listed", "vouched", "mtime")])
+    bare = F.max(F.when(F.col("remote_path") == F.col("_base"), F.col("vouched")).otherwise(0)).over(W.partitionBy("provider_id", "_base"))
+    return sums.withColumn("_bare", bare).select("provider_id", "remote_path", "known", "listed", ((F.col("known") == 1) & (F.col("vouched") == 0) & (F.col("_bare") == 0)).alias("missing"), "mtime").where("known = 1 or listed = 1")
+
+
+def _old(now: int, grace: int) -> Column:
+    return F.coalesce(F.lit(now) - F.col("mtime") >= grace, F.lit(True))
 
 
 def gc_orphans(locations: DataFrame, listing: DataFrame, now: int, grace: int = GRACE_SECONDS) -> DataFrame:
     """Listed objects that the catalog doesn't know, and if each is old enough to go; an unknown age is old."""
-    known = locations.select("provider_id", "remote_path")
-    rows = listed_paths(listing).join(known, ["provider_id", "remote_path"], "left_anti")
-    return rows.select("provider_id", "remote_path", F.coalesce(F.lit(now) - F.col("mtime") >= grace, F.lit(True)).alias("old"))
+    return reconcile(locations, listing).where("known = 0").select("provider_id", "remote_path", _old(now, grace).alias("old"))
 
 
 def gc_missing(locations: DataFrame, listing: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Known objects that their provider doesn't list, by path or by base name. Providers that
-    couldn't be listed (not in scanned) have none; an empty listing means that all are missing."""
-    known = locations.join(scanned.select("provider_id"), "provider_id", "left_semi").select("provider_id", "remote_path").distinct()
-    left = known.join(listed_paths(listing).select("provider_id", "remote_path"), ["provider_id", "remote_path"], "left_anti")
-    names = listing.where(~F.col("is_dir")).select("provider_id", F.col("path").alias("_base")).where(F.instr("_base", "/") == 0).distinct()
-    return left.withColumn("_base", paths.base("remote_path")).join(names, ["provider_id", "_base"], "left_anti").select("provider_id", "remote_path")
+    """Known objects that their provider doesn't list. Providers that couldn't be listed (not in scanned)
+    have none; an empty listing means that all are missing."""
+    return reconcile(locations, listing).where("missing").join(scanned.select("provider_id"), "provider_id", "left_semi").select("provider_id", "remote_path")
+
+
+def _stopped(known: Column, missing: Column) -> Column:
+    """If the safety stop holds: too much is missing for it to be the loss of single objects."""
+    return (missing > STOP_COUNT) & (missing > STOP_SHARE * known)
+
+
+def _by_provider(objects: DataFrame, scanned: DataFrame, now: int = 0, grace: int = GRACE_SECONDS) -> DataFrame:
+    """Counts of each scanned provider, summed map-side first."""
+    sums = objects.groupBy("provider_id").agg(
+        F.sum("known").cast("long").alias("known"),
+        F.count_if("missing").alias("missing"),
+        F.count_if((F.col("known") == 0) & _old(now, grace)).alias("orphans_old"),
+        F.count_if((F.col("known") == 0) & ~_old(now, grace)).alias("orphans_recent"),
+    )
+    return scanned.select("provider_id").join(sums, "provider_id", "left").na.fill(0).withColumn("stopped", _stopped(F.col("known"), F.col("missing")))
 
 
 def gc_missing_ratio(locations: DataFrame, listing: DataFrame, scanned: DataFrame) -> DataFrame:
     """Per scanned provider: known and missing objects, and if the safety stop holds its deletions."""
-    known = locations.join(scanned.select("provider_id"), "provider_id", "left_semi").groupBy("provider_id").agg(F.countDistinct("remote_path").alias("known"))
-    lost = gc_missing(locations, listing, scanned).groupBy("provider_id").agg(F.count("*").alias("missing"))
-    m = F.coalesce("missing", F.lit(0))
-    rows = scanned.select("provider_id").join(known, "provider_id", "left").join(lost, "provider_id", "left")
-    share = F.coalesce(F.try_divide(m, F.col("known")), F.lit(0.0))
-    return rows.select("provider_id", F.coalesce("known", F.lit(0)).alias("known"), m.alias("missing"), ((m > STOP_COUNT) & (share > STOP_SHARE)).alias("stopped"))
+    return _by_provider(reconcile(locations, listing), scanned).select("provider_id", "known", "missing", "stopped")
 
 
 def gc_broken_files(locations: DataFrame, chunks: DataFrame, listing: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(file_id) of one file for each missing object of providers that aren't stopped."""
-    calm = gc_missing_ratio(locations, listing, scanned).where("not stopped")
-    lost = gc_missing(locations, listing, scanned).join(calm, "provider_id", "left_semi")
+    """(file_id) of one file, that of the smallest id, for each missing object of providers that aren't stopped."""
+    objects = reconcile(locations, listing)
+    calm = _by_provider(objects, scanned).where("not stopped and missing > 0").select("provider_id")
+    lost = objects.where("missing").join(calm, "provider_id", "left_semi").select("provider_id", "remote_path")
     c = chunks.select(F.col("id").alias("chunk_id"), "file_id")
     hit = locations.join(lost, ["provider_id", "remote_path"], "left_semi").join(c, "chunk_id")
-    return hit.groupBy("remote_path").agg(F.min("file_id").alias("file_id")).select("file_id").distinct()
+    return hit.groupBy("provider_id", "remote_path").agg(F.min("file_id").alias("file_id")).select("file_id").distinct()
 
 
 def gc_classification(locations: DataFrame, listing: DataFrame, scanned: DataFrame, now: int, grace: int = GRACE_SECONDS) -> DataFrame:
-    """One row a provider: what its reconciliation finds and does. One pass over both sides:
-    they are united by (provider, object), so each is shuffled once."""
-    known = locations.select("provider_id", "remote_path", F.lit(1).alias("k"), F.lit(0).alias("l"), F.lit(None).cast("long").alias("mtime"))
-    there = listed_paths(listing).select("provider_id", "remote_path", F.lit(0).alias("k"), F.lit(1).alias("l"), "mtime")
-    each = known.unionByName(there).groupBy("provider_id", "remote_path").agg(F.max("k").alias("k"), F.max("l").alias("l"), F.max("mtime").alias("mtime"))
-    old = F.coalesce(F.lit(now) - F.col("mtime") >= grace, F.lit(True))
-    sums = each.groupBy("provider_id").agg(
-        F.sum("k").alias("known"),
-        F.count_if((F.col("k") == 1) & (F.col("l") == 0)).alias("missing"),
-        F.count_if((F.col("k") == 0) & old).alias("orphans_old"),
-        F.count_if((F.col("k") == 0) & ~old).alias("orphans_recent"),
-    )
-    rows = scanned.select("provider_id").join(sums, "provider_id", "left").na.fill(0)
-    stopped = (F.col("missing") > STOP_COUNT) & (F.col("missing") > STOP_SHARE * F.col("known"))
-    verdict = F.when(stopped, "stopped").when(F.col("missing") > 0, "lossy").otherwise("clean")
+    """One row a provider: what its reconciliation finds and does."""
+    rows = _by_provider(reconcile(locations, listing), scanned, now, grace)
+    verdict = F.when(F.col("stopped"), "stopped").when(F.col("missing") > 0, "lossy").otherwise("clean")
     return rows.select("provider_id", "known", "missing", "orphans_old", "orphans_recent", verdict.alias("verdict"))
 
 
@@ -157,7 +173,7 @@ def merge_transfers(first: DataFrame, second: DataFrame) -> DataFrame:
     both = first.unionByName(second)
     speed = both.agg(F.max("speed").alias("speed"))
     each = both.select(F.inline("transferring")).groupBy("name").agg(F.max("bytes").alias("bytes"))
-    return each.withColumn("speed", F.lit(speed.first()["speed"]))
+    return each.join(F.broadcast(speed), on=F.lit(True))
 
 
 def upload_progress(uploads: DataFrame, transfers: DataFrame, now: int) -> DataFrame:
@@ -252,6 +268,17 @@ def junk_files(files: DataFrame) -> DataFrame:
     return q.complete(files).where(text.is_junk(paths.base("virtual_path")))
 
 
+def stub_marks(files: DataFrame, local: DataFrame, stubs: DataFrame) -> DataFrame:
+    """(virtual_path, action, size) to bring the stubs up to date: a complete file that isn't here gets an empty
+    stub with its real size, a stub whose file is here or gone loses its mark. local, stubs: (virtual_path)."""
+    f = q.complete(files).select("virtual_path", "size_bytes", F.lit(True).alias("known"))
+    here, marked = local.select("virtual_path").distinct().withColumn("here", F.lit(True)), stubs.select("virtual_path").distinct().withColumn("stub", F.lit(True))
+    rows = f.join(here, "virtual_path", "full").join(marked, "virtual_path", "full")
+    known, there, stub = (F.coalesce(c, F.lit(False)) for c in ("known", "here", "stub"))
+    action = F.when(known & ~there & ~stub, "create").when(stub & (there | ~known), "clear")
+    return rows.select("virtual_path", action.alias("action"), F.when(known, F.col("size_bytes")).alias("size")).where("action is not null")
+
+
 def selection_add(chosen: Column, more: Column) -> Column:
     return F.array_union(chosen, more)
 
@@ -341,10 +368,41 @@ def dropped_files(entries: DataFrame) -> DataFrame:
 
 
 def set_changes(snapshots: DataFrame) -> DataFrame:
-    """snapshots: (at, path). Polls at which the set of paths differs from the one before and is no larger."""
-    s = snapshots.groupBy("at").agg(F.array_sort(F.collect_set("path")).alias("now"))
-    before = F.lag("now").over(W.orderBy("at"))
-    return s.withColumn("before", before).where((F.col("before") != F.col("now")) & (F.size("now") < F.size("before"))).select("at")
+    """snapshots: (at, path). Polls at which there are fewer paths than at the poll before, so that the set differs."""
+    s = snapshots.groupBy("at").agg(F.countDistinct("path").alias("n"))
+    return with_previous(s, "at", ["n"], 1 << 16).where("n < before.n").select("at")
+
+
+def write_plan(uploads: DataFrame, providers: DataFrame) -> DataFrame:
+    """(rclone_remote, remote_path, action, size) of objects to write, each behind its directory's making.
+    uploads: (provider_id, remote_path, size). For whoever carries it out; no side effect."""
+    p = providers.select(F.col("id").alias("provider_id"), text.ensure_colon("rclone_remote").alias("remote"))
+    own = uploads.join(p, "provider_id")
+    up = F.regexp_replace("remote_path", "/?[^/]*$", "")
+    dirs = own.select("remote", up.alias("remote_path")).where("remote_path <> ''").distinct().select("remote", "remote_path", F.lit("mkdir").alias("action"), F.lit(None).cast("long").alias("size"))
+    return dirs.unionByName(own.select("remote", "remote_path", F.lit("put").alias("action"), "size"))
+
+
+def job_polls(jobs: DataFrame, first_ms: int = 100, most_ms: int = 5000, polls: int = 720) -> DataFrame:
+    """jobs: (id, took_ms). (id, polls, seen_ms, timed_out): after how many polls a job's end is seen, and when.
+    The pause before a poll doubles up to a bound, so poll n comes after a time known in advance."""
+    doubled = max(0, (most_ms - 1) // first_ms).bit_length()  # pauses below the bound
+    after = lambda n: F.when(n <= doubled, (F.pow(F.lit(2.0), n) * first_ms - first_ms).cast("long")).otherwise(first_ms * (2**doubled - 1) + (n - doubled) * most_ms)
+    early = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(doubled).cast("long")), lambda n: after(n) >= F.col("took_ms"))
+    late = doubled + F.ceil((F.col("took_ms") - first_ms * (2**doubled - 1)) / most_ms).cast("long")
+    n = F.coalesce(F.get(early, F.lit(0)), late)
+    return jobs.select("id", F.least(n, F.lit(polls).cast("long")).alias("polls"), after(F.least(n, F.lit(polls).cast("long"))).cast("long").alias("seen_ms"), (n > polls).alias("timed_out"))
+
+
+def read_plan(files: DataFrame, chunks: DataFrame, locations: DataFrame, providers: DataFrame) -> DataFrame:
+    """(id, sequence, remote, remote_path, shard_index) of the objects to read for complete files, in order:
+    the first location of a whole chunk, all locations of one in shards."""
+    f = q.complete(files).select(F.col("id").alias("file_id"))
+    c = chunks.join(f, "file_id", "left_semi").select(F.col("id").alias("chunk_id"), "file_id", "sequence", ((F.col("data_shards") > 1) | (F.col("parity_shards") > 0)).alias("coded"))
+    p = providers.select(F.col("id").alias("provider_id"), text.ensure_colon("rclone_remote").alias("remote"))
+    least = locations.groupBy("chunk_id").agg(F.min("shard_index").alias("least"))
+    rows = locations.join(c, "chunk_id").join(least, "chunk_id").where(F.col("coded") | (F.col("shard_index") == F.col("least")))
+    return rows.join(p, "provider_id").select(F.col("file_id").alias("id"), "sequence", "remote", "remote_path", "shard_index")
 
 
 def object_plan(plan: DataFrame, providers: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +27,65 @@ def split(contents: DataFrame, size: int) -> DataFrame:
     return at.select("id", F.col("sequence").cast("long").alias("sequence"), data.alias("data")).select("id", "sequence", "data", F.octet_length("data").cast("long").alias("size_bytes"), F.sha2("data", 256).alias("sha256"))
 
 
+def split_scheduled(contents: DataFrame, tiers: Column) -> DataFrame:
+    """split by tiers (count, size); count 0 means: for all that is left."""
+    from .placement import estimate_chunks, size_for_seq
+
+    b = contents.select("id", F.col("content").cast("binary").alias("b")).where(F.octet_length("b") > 0).withColumn("tiers", tiers)
+    n = F.sequence(F.lit(0).cast("long"), estimate_chunks("tiers", F.octet_length("b")) - 1)
+    sizes = F.transform(n, lambda k: size_for_seq("tiers", k))
+    ends = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s)))
+    at = b.select("id", "b", F.posexplode(F.arrays_zip(ends.alias("from"), sizes.alias("size"))).alias("sequence", "c")).where("c.size is not null")
+    cut = at.select("id", F.col("sequence").cast("long").alias("sequence"), F.substring("b", (F.col("c.from") + 1).cast("int"), F.col("c.size").cast("int")).alias("data"))
+    return cut.select("id", "sequence", "data", F.octet_length("data").cast("long").alias("size_bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+STATUS = "id {kind}, status string, n long, size_bytes long"
+
+
+def _read(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    """Parts (id, sequence, data, sha256, whole) sorted by id and sequence: one row for each id. A file's hash
+    is fed part by part; its bytes are held only if they are wanted."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    out: list[dict] = []
+    for i, parts in itertools.groupby(rows(), key=lambda r: r[0]):
+        sha, n, size, gap, good, data, whole = hashlib.sha256(), 0, 0, False, True, [], None
+        for _, seq, part, own, whole in parts:  # noqa: B020
+            gap |= seq != n
+            good &= hashlib.sha256(part).hexdigest() == own
+            sha.update(part)
+            n, size = n + 1, size + len(part)
+            if keep:
+                data.append(part)
+        status = "gap" if gap else "chunk_mismatch" if not good else "file_mismatch" if sha.hexdigest() != whole else "ok"
+        out.append({"id": i, "status": status, "n": n, "size_bytes": size} | ({"content": b"".join(data) if status == "ok" else None} if keep else {}))
+        if keep or len(out) >= 2000:
+            yield pa.RecordBatch.from_pylist(out)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out)
+
+
+def _assembled(parts: DataFrame, whole: DataFrame, keep: bool) -> DataFrame:
+    kind = parts.schema["id"].dataType.simpleString()
+    both = parts.select("id", "sequence", "data", "sha256").join(whole.select("id", F.col("sha256").alias("whole")), "id")
+    schema = STATUS.format(kind=kind) + (", content binary" if keep else "")
+    return both.repartition("id").sortWithinPartitions("id", "sequence").mapInArrow(partial(_read, keep=keep), schema)
+
+
 def assemble(parts: DataFrame, whole: DataFrame) -> DataFrame:
     """(id, status, n, size_bytes): if the parts of each id follow each other from 0, have their own
     hashes, and together the hash in whole (id, sha256)."""
-    good = F.sha2("data", 256) == F.col("sha256")
-    g = parts.groupBy("id").agg(
-        F.count("*").alias("n"), F.countDistinct("sequence").alias("d"), F.min("sequence").alias("lo"), F.max("sequence").alias("hi"),
-        F.bool_and(good).alias("good"), F.sum(F.octet_length("data")).alias("size_bytes"), F.array_sort(F.collect_list(F.struct("sequence", "data"))).alias("all"),
-    )
-    joined = F.sha2(F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["data"])), "")), 256)
-    gap = (F.col("lo") != 0) | (F.col("hi") + 1 != F.col("n")) | (F.col("d") != F.col("n"))
-    status = F.when(gap, "gap").when(~F.col("good"), "chunk_mismatch").when(joined != F.col("whole"), "file_mismatch").otherwise("ok")
-    return g.join(whole.select("id", F.col("sha256").alias("whole")), "id").select("id", status.alias("status"), "n", F.col("size_bytes").cast("long").alias("size_bytes"))
+    return _assembled(parts, whole, False)
+
+
+def read_files(parts: DataFrame, whole: DataFrame) -> DataFrame:
+    """(id, status, n, size_bytes, content): assemble, with the bytes of files that are whole."""
+    return _assembled(parts, whole, True)
 
 
 def integrity(files: DataFrame, chunks: DataFrame, locations: DataFrame) -> DataFrame:

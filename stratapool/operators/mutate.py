@@ -18,7 +18,12 @@ def _set(df: DataFrame, where: Column, **values: Column) -> DataFrame:
 
 
 def insert_files(files: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert or replace: rows of an equal id and rows of an equal path go. An empty state means complete."""
+    """Insert or replace: rows of an equal id and rows of an equal path go. An empty state means complete.
+    Of new rows that share an id, and then of those that share a path, the last one stays: that of the
+    latest change, of equal ones that of the largest row."""
+    for key in ("id", "virtual_path"):
+        row = F.struct(*[F.col(c) for c in files.columns])
+        new = new.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct("modified_at", row)).alias("_row")).select("_row.*")
     new = new.withColumn("upload_state", F.when(F.col("upload_state") == "", "complete").otherwise(F.col("upload_state")))
     left = files.join(new.select("id"), "id", "left_anti").join(new.select("virtual_path"), "virtual_path", "left_anti")
     return left.select(*files.columns).unionByName(new.select(*files.columns))
@@ -161,8 +166,9 @@ def clone_from_donor(catalog: Catalog, new: DataFrame) -> tuple[DataFrame, DataF
     new: rows of files. The donor is the complete file of the smallest id with equal content that
     has chunks. Clones have ids derived from their file and sequence, and the donor's remote paths.
     """
+    wanted = new.select("sha256_full").distinct()
     has = catalog.chunks.select(F.col("file_id").alias("id")).distinct()
-    donors = catalog.files.where("upload_state = 'complete'").join(has, "id", "left_semi").groupBy("sha256_full").agg(F.min("id").alias("donor"))
+    donors = catalog.files.where("upload_state = 'complete'").join(wanted, "sha256_full", "left_semi").join(has, "id", "left_semi").groupBy("sha256_full").agg(F.min("id").alias("donor"))
     pairs = new.join(donors, "sha256_full")
     old = catalog.chunks.select(F.col("id").alias("old_chunk"), F.col("file_id").alias("donor"), *[c for c in catalog.chunks.columns if c not in ("id", "file_id")])
     clone_id = F.concat(F.col("file_id"), F.lit("/"), F.col("sequence").cast("string"))
@@ -171,20 +177,43 @@ def clone_from_donor(catalog: Catalog, new: DataFrame) -> tuple[DataFrame, DataF
     return pairs.select(*catalog.files.columns), made.select(*catalog.chunks.columns), at.select(*catalog.chunk_locations.columns)
 
 
+def clone_and_replace(catalog: Catalog, new: DataFrame) -> Catalog:
+    """The catalog with clones of what is stored already, in one step: what was at their paths goes with its
+    chunks and locations, unless it is the donor itself (then only its row's path is taken over)."""
+    files, chunks, locations = clone_from_donor(catalog, new)
+    gone = replaced_files(catalog.files, files)
+    left = delete_files(catalog, gone.select("id"))
+    complete = files.withColumn("upload_state", F.lit("complete")).withColumn("tmp_path", F.lit(None).cast("string"))
+    return left.replace(files=left.files.unionByName(complete), chunks=left.chunks.unionByName(chunks), chunk_locations=left.chunk_locations.unionByName(locations))
+
+
+def overwrite_swap(catalog: Catalog, files: DataFrame, chunks: DataFrame, locations: DataFrame) -> tuple[Catalog, DataFrame]:
+    """(catalog, objects): an overwrite whose upload has ended. The rows that were at the new files' paths go
+    with their chunks and locations, the new ones come. objects: (provider_id, remote_path) of the old chunks
+    that nothing refers to any more; they are to be deleted last."""
+    old = replaced_files(catalog.files, files)
+    ids = old.select(F.col("id").alias("file_id"))
+    dead = catalog.chunks.join(ids, "file_id", "left_semi").select(F.col("id").alias("chunk_id"))
+    were = catalog.chunk_locations.join(dead, "chunk_id", "left_semi").select("provider_id", "remote_path").distinct()
+    out = insert_file_with_chunks(delete_files(catalog, old.select("id")), files, chunks, locations)
+    return out, were.join(out.chunk_locations.select("remote_path"), "remote_path", "left_anti").select("provider_id", "remote_path")
+
+
 def broken_files(catalog: Catalog, missing: DataFrame) -> DataFrame:
-    """(file_id) of one file, that of the smallest id, for each missing remote path."""
+    """(file_id) of one file, that of the smallest id, for each missing object (provider_id, remote_path)."""
     c = catalog.chunks.select(F.col("id").alias("chunk_id"), "file_id")
-    hit = catalog.chunk_locations.join(missing.select("remote_path").distinct(), "remote_path", "left_semi").join(c, "chunk_id")
-    return hit.groupBy("remote_path").agg(F.min("file_id").alias("file_id")).select("file_id").distinct()
+    hit = catalog.chunk_locations.join(missing.select("provider_id", "remote_path").distinct(), ["provider_id", "remote_path"], "left_semi").join(c, "chunk_id")
+    return hit.groupBy("provider_id", "remote_path").agg(F.min("file_id").alias("file_id")).select("file_id").distinct()
 
 
 def purge_files(catalog: Catalog, ids: DataFrame) -> Catalog:
-    """Without the chunks and locations of the files in ids (file_id); their rows stay."""
-    dead = catalog.chunks.join(ids, "file_id", "left_semi").select(F.col("id").alias("chunk_id"))
-    return catalog.replace(chunk_locations=catalog.chunk_locations.join(dead, "chunk_id", "left_anti"), chunks=catalog.chunks.join(ids, "file_id", "left_anti").select(*catalog.chunks.columns))
+    """Without the files in ids (file_id), their chunks and locations, also where the file's row has gone
+    already; then without chunks of no file."""
+    return sweep_orphan_records(delete_files(catalog, ids.select(F.col("file_id").alias("id"))))
 
 
 def sweep_orphan_records(catalog: Catalog) -> Catalog:
     """Without chunks of no file, and locations of such chunks."""
     dead = catalog.chunks.join(catalog.files.select(F.col("id").alias("file_id")), "file_id", "left_anti")
-    return catalog.replace(chunk_locations=catalog.chunk_locations.join(dead.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti"), chunks=catalog.chunks.join(dead.select("id"), "id", "left_anti"))
+    lost = catalog.chunk_locations.join(dead.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
+    return catalog.replace(chunk_locations=lost.select(*catalog.chunk_locations.columns), chunks=catalog.chunks.join(dead.select("id"), "id", "left_anti").select(*catalog.chunks.columns))

@@ -1,6 +1,7 @@
 """Where new bytes go: eligible providers, choice by most free space or by weighted draw, chunk plans.
 
-Randomness is always passed in as a column of numbers from 0 up to 1.
+Randomness is always passed in as a column of numbers from 0 up to 1. Providers are few (one row an
+account): what all rows need of them is one row of arrays that is joined to each.
 """
 
 from __future__ import annotations
@@ -17,6 +18,16 @@ MIB, GIB = 1 << 20, 1 << 30
 DEFAULT_CHUNK, MAX_CHUNK = 32 * MIB, 4 * GIB
 CHUNKS_AIM = 25
 BUDGET, MIN_WORKERS, MAX_WORKERS = 6 * GIB, 2, 12
+TIERS = "array<struct<count: bigint, size: bigint>>"
+
+
+def _col(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _with_row(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows, each with the columns of the only row of one."""
+    return rows.join(F.broadcast(one), on=F.lit(True), how="left")
 
 
 def _open(now: int) -> Column:
@@ -38,8 +49,8 @@ def total_free_space(providers: DataFrame, now: int, min_free: int = 0) -> DataF
 
 def check_space(sizes: DataFrame, providers: DataFrame, now: int, min_free: int = 0) -> DataFrame:
     """sizes: (size). If all that is free holds it."""
-    total = total_free_space(providers, now, min_free).first()["free"]
-    return sizes.select("*", (F.col("size") <= total).alias("fits"))
+    total = total_free_space(providers, now, min_free).withColumnRenamed("free", "_free")
+    return _with_row(sizes, total).withColumn("fits", F.col("size") <= F.col("_free")).drop("_free")
 
 
 def assign_chunk_mfs(sizes: DataFrame, providers: DataFrame, now: int, min_free: int = 0) -> DataFrame:
@@ -47,10 +58,9 @@ def assign_chunk_mfs(sizes: DataFrame, providers: DataFrame, now: int, min_free:
 
     The best provider is the best for every size that it holds, so one row is enough.
     """
-    best = providers.where(_open(now)).agg(F.min_by(F.struct("id", "quota_free_bytes"), F.struct(-F.col("quota_free_bytes"), F.col("display_name"))).alias("b")).first()["b"]
-    free = best["quota_free_bytes"] if best else -1
-    fits = F.lit(free) >= F.greatest(F.col("size"), F.lit(min_free))
-    return sizes.select("*", F.when(fits, F.lit(best["id"] if best else None)).alias("provider_id"))
+    best = providers.where(_open(now)).agg(F.min_by(F.struct("id", "quota_free_bytes"), F.struct(-F.col("quota_free_bytes"), F.col("display_name"))).alias("_best"))
+    fits = F.col("_best.quota_free_bytes") >= F.greatest(F.col("size"), F.lit(min_free))
+    return _with_row(sizes, best).withColumn("provider_id", F.when(fits, F.col("_best.id"))).drop("_best")
 
 
 def weighted(providers: DataFrame) -> DataFrame:
@@ -64,19 +74,50 @@ def weighted(providers: DataFrame) -> DataFrame:
     return providers.select("id", (up - F.col("quota_free_bytes")).alias("low"), up.alias("high"), total.alias("total"), F.row_number().over(w).alias("rank"))
 
 
+def _spans(providers: DataFrame, now: int, size: int, min_free: int) -> DataFrame:
+    """One row: the eligible providers in order of names as arrays (_low, _high, _ids), and their _total."""
+    every = weighted(eligible(providers, now, size, min_free)).agg(F.array_sort(F.collect_list(F.struct("rank", "low", "high", "id"))).alias("s"), F.max("total").alias("_total"))
+    return every.select(F.col("s.low").alias("_low"), F.col("s.high").alias("_high"), F.col("s.id").alias("_ids"), "_total")
+
+
+def _place(x: Column) -> Column:
+    """The index of the first span whose end is above x: a binary search in 32 steps at most."""
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        below = F.get("_high", mid) > x
+        return F.struct(F.when(below, s["lo"]).otherwise(F.least(mid + 1, s["hi"])).alias("lo"), F.when(below, mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_high") + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), (F.size("_high") - 1).alias("hi")), step, lambda s: s["hi"])
+
+
+def _draw(uniform: Column, taken: Column | None = None) -> Column:
+    """The index of a weighted draw, none of the indexes in taken: their spans are stepped over."""
+    if taken is None:
+        return F.when(F.col("_total") <= 0, F.lit(0)).otherwise(_place(F.floor(uniform * F.col("_total")).cast("long")))
+    order = F.array_sort(taken)
+    width = lambda i: F.get("_high", i) - F.get("_low", i)
+    total = F.aggregate(order, F.col("_total"), lambda t, i: t - width(i))
+    x = F.aggregate(order, F.floor(uniform * total).cast("long"), lambda r, i: F.when(r >= F.get("_low", i), r + width(i)).otherwise(r))
+    first = F.aggregate(order, F.lit(0), lambda k, i: F.when(i == k, k + 1).otherwise(k))  # the first that isn't taken
+    return F.when(total <= 0, first).otherwise(_place(x))
+
+
 def assign_chunk_pfrd(draws: DataFrame, providers: DataFrame, now: int, size: int, min_free: int = 0) -> DataFrame:
-    """draws: (id, uniform). A provider for each, with odds in proportion to free space.
+    """draws: (id, uniform). A provider for each, with odds in proportion to free space; null without any.
 
-    The intervals are one sorted array, so a draw costs a search in it, and no join.
+    The spans are one sorted array, so a draw costs a binary search in it, and no join.
     """
-    spans = weighted(eligible(providers, now, size, min_free))
-    a = spans.agg(F.array_sort(F.collect_list(F.struct("high", "id"))).alias("spans"), F.max("total").alias("total")).first()
-    if not a["spans"]:
-        return draws.select("id", F.lit(None).cast("string").alias("provider_id"))
-    table = F.array(*[F.struct(F.lit(s["high"]).alias("high"), F.lit(s["id"]).alias("id")) for s in a["spans"]])
-    r = F.floor(F.col("uniform") * a["total"]).cast("long")
-    first = F.filter(table, lambda s: s["high"] > r)[0]["id"]
-    return draws.select("id", (F.lit(a["spans"][0]["id"]) if a["total"] <= 0 else first).alias("provider_id"))
+    both = _with_row(draws.select("id", "uniform"), _spans(providers, now, size, min_free))
+    return both.select("id", F.when(F.size("_ids") > 0, F.get("_ids", _draw(F.col("uniform")))).alias("provider_id"))
+
+
+def assign_chunk(requests: DataFrame, providers: DataFrame, now: int, size: int, min_free: int = 0, policy: str = "") -> DataFrame:
+    """requests: (id, uniform). (id, provider_id) by the policy: mfs, or weighted draws by default."""
+    if policy == "mfs":
+        return assign_chunk_mfs(requests.select("id", F.lit(size).cast("long").alias("size")), providers, now, min_free).select("id", "provider_id")
+    return assign_chunk_pfrd(requests, providers, now, size, min_free)
 
 
 def assign_shards_mfs(providers: DataFrame, now: int, n: int, size: int, min_free: int = 0) -> DataFrame:
@@ -90,159 +131,171 @@ def assign_shards_mfs(providers: DataFrame, now: int, n: int, size: int, min_fre
     return first.unionByName(later.select((F.col("m") + F.col("i")).cast("int").alias("shard_index"), F.col("id").alias("provider_id"))).orderBy("shard_index")
 
 
-def pick_pfrd(free: list[tuple[str, int]], uniform: float, excluded: set[str] = frozenset()) -> str | None:
-    """One weighted draw among (id, free) in order of names, without the excluded."""
-    left = [(i, f) for i, f in free if i not in excluded]
-    total = sum(f for _, f in left)
-    if not left:
-        return None
-    if total <= 0:
-        return left[0][0]
-    r, up = int(uniform * total), 0
-    for i, f in left:
-        up += f
-        if r < up:
-            return i
-    return left[-1][0]
-
-
 def assign_shards_pfrd(requests: DataFrame, providers: DataFrame, now: int, size: int, min_free: int = 0) -> DataFrame:
     """requests: (id, n, uniforms). (id, shard_index, provider_id): distinct weighted draws first, then round by name."""
-    free = [(r["id"], r["quota_free_bytes"]) for r in eligible(providers, now, size, min_free).select("id", "quota_free_bytes", "display_name").collect()]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                taken: list[str] = []
-                for k in range(min(r.n, len(free))):
-                    taken.append(pick_pfrd(free, float(r.uniforms[k]), set(taken)))
-                rows += [(r.id, k, p) for k, p in enumerate(taken)]
-                rows += [(r.id, len(taken) + i, free[i % len(free)][0]) for i in range(r.n - len(taken) if free else 0)]
-            yield pd.DataFrame(rows, columns=["id", "shard_index", "provider_id"])
-
-    kind = requests.schema["id"].dataType.simpleString()
-    return requests.select("id", "n", "uniforms").mapInPandas(run, f"id {kind}, shard_index int, provider_id string")
+    both = _with_row(requests.select("id", F.col("n").cast("int").alias("n"), "uniforms"), _spans(providers, now, size, min_free)).where("n > 0 and size(_ids) > 0")
+    m = F.size("_ids")
+    drawn = F.aggregate(F.sequence(F.lit(0), F.least("n", m) - 1), F.array().cast("array<int>"), lambda taken, k: F.concat(taken, F.array(_draw(F.get("uniforms", k), taken))))
+    round_ = F.when(F.col("n") > m, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - m, F.lit(1)) - 1), lambda i: i % m)).otherwise(F.array().cast("array<int>"))
+    at = both.select("id", "_ids", F.posexplode(F.concat(drawn, round_)).alias("shard_index", "_at"))
+    return at.select("id", "shard_index", F.get("_ids", F.col("_at")).alias("provider_id"))
 
 
 def chunk_size_for_file(size: Column | str) -> Column:
-    s = F.col(size) if isinstance(size, str) else size
+    s = _col(size)
     aim = F.floor(s / CHUNKS_AIM).cast("long")
     return F.when(s <= 0, F.lit(DEFAULT_CHUNK)).otherwise(F.least(F.greatest(aim, F.lit(DEFAULT_CHUNK)), F.lit(MAX_CHUNK))).cast("long")
 
 
 def upload_workers(max_chunk: Column | str) -> Column:
-    c = F.col(max_chunk) if isinstance(max_chunk, str) else max_chunk
+    c = _col(max_chunk)
     return F.when(c <= 0, F.lit(MAX_WORKERS)).otherwise(F.least(F.greatest(F.floor(F.lit(BUDGET) / c).cast("int"), F.lit(MIN_WORKERS)), F.lit(MAX_WORKERS))).cast("int")
 
 
-def plan_chunks(size: int, spaces: list[int]) -> list[tuple[int, int]]:
-    """Tiers (count, size) for a file; count 0 means: for all that is left.
+def _tier(count: int, size: Column | int) -> Column:
+    s = F.lit(size) if isinstance(size, int) else size
+    return F.struct(F.lit(count).cast("long").alias("count"), s.cast("long").alias("size"))
 
-    A file that the largest space holds is cut as little as possible. Else chunks are taken from the
-    largest space that is left until the file is covered, or no space is left.
-    """
-    usable = [s for s in sorted(spaces, reverse=True) if s > 0]
-    if size <= 0 or not usable:
-        return [(0, DEFAULT_CHUNK)]
-    if usable[0] >= size:
-        return [(0, min(size, MAX_CHUNK))]
-    tiers, left = [], size
-    while left > 0:
-        k = max(range(len(usable)), key=lambda i: (usable[i], -i))
-        take = min(usable[k], MAX_CHUNK, left)
-        if take <= 0:
-            tiers.append((0, DEFAULT_CHUNK))
-            break
-        tiers.append((1, take))
-        usable[k] -= take
-        left -= take
-    return [(0, tiers[0][1])] if len({t for _, t in tiers}) == 1 else tiers
-
-
-def size_for_seq(tiers: list[tuple[int, int]], seq: int) -> int:
-    at = 0
-    for n, size in tiers:
-        if not n or seq < at + n:
-            return size
-        at += n
-    return tiers[-1][1] if tiers else DEFAULT_CHUNK
-
-
-def estimate_chunks(tiers: list[tuple[int, int]], size: int) -> int:
-    """How many chunks the tiers make of a file."""
-    out, left = 0, size
-    for n, t in [*tiers, (0, tiers[-1][1])]:
-        if left <= 0:
-            break
-        k = -(-left // t)
-        k = min(k, n) if n else k
-        out, left = out + k, left - k * t
-    return out
 
+def default_schedule() -> Column:
+    """Chunks of the default size without end."""
+    return F.array(_tier(0, DEFAULT_CHUNK)).cast(TIERS)
 
-def chunk_schedule(size: int, spaces: list[int], override: int = 0) -> list[tuple[int, int]]:
-    """A fixed size if one is set; the default where no space is known; else the plan."""
-    return [(0, override)] if override > 0 else plan_chunks(size, spaces) if spaces else [(0, DEFAULT_CHUNK)]
 
+def plan_chunks(size: Column | str, spaces: list[int]) -> Column:
+    """Tiers (count, size) for a file; count 0 means: for all that is left.
 
-def plan_for_files(files: DataFrame, spaces: list[int], override: int = 0) -> DataFrame:
-    """(id, size_bytes, tiers, max_chunk, n_chunks) of each file, each as if it came alone."""
+    A file that the largest space holds is cut as little as possible. Else each chunk is as much as
+    the largest space that is left takes, until the file is covered or no space is left.
+    """
+    size = _col(size).cast("long")
+    usable = sorted((s for s in spaces if s > 0), reverse=True)
+    if not usable:
+        return default_schedule()
+
+    def step(s: Column, _: Column) -> Column:
+        top = F.array_max(s["space"])
+        at, take = F.array_position(s["space"], top), F.least(top, F.lit(MAX_CHUNK).cast("long"), s["left"])
+        less = F.transform(s["space"], lambda x, i: F.when(i + 1 == at, x - take).otherwise(x))
+        on = F.struct((s["left"] - take).alias("left"), less.alias("space"), F.concat(s["tiers"], F.array(_tier(1, take))).alias("tiers"))
+        out = F.struct(F.lit(0).cast("long").alias("left"), s["space"].alias("space"), F.concat(s["tiers"], default_schedule()).alias("tiers"))
+        return F.when(s["left"] <= 0, s).when(take <= 0, out).otherwise(on)
+
+    steps = F.sequence(F.lit(0).cast("long"), F.ceil(F.greatest(size, F.lit(0)) / MAX_CHUNK).cast("long") + len(usable))
+    zero = F.struct(size.alias("left"), F.array(*[F.lit(s).cast("long") for s in usable]).alias("space"), F.array().cast(TIERS).alias("tiers"))
+    tiers = F.aggregate(steps, zero, step, lambda s: s["tiers"])
+    even = F.size(F.array_distinct(F.transform(tiers, lambda t: t["size"]))) == 1
+    cut = F.when(even, F.array(_tier(0, F.get(tiers, F.lit(0))["size"]))).otherwise(tiers)
+    whole = F.array(_tier(0, F.least(size, F.lit(MAX_CHUNK).cast("long"))))
+    return F.when(size <= 0, default_schedule()).when(size <= usable[0], whole).otherwise(cut)
+
+
+def chunk_schedule(size: Column | str, spaces: list[int], override: int = 0) -> Column:
+    """A fixed size if one is set; the default where no space is known; else the plan."""
+    if override > 0:
+        return F.array(_tier(0, override)).cast(TIERS)
+    return plan_chunks(size, spaces) if spaces else default_schedule()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            plans = [chunk_schedule(int(s), spaces, override) for s in b.size_bytes]
-            yield pd.DataFrame({"id": b.id, "size_bytes": b.size_bytes, "tiers": [[{"count": n, "size": s} for n, s in p] for p in plans], "max_chunk": [max(s for _, s in p) for p in plans], "n_chunks": [estimate_chunks(p, int(s)) for p, s in zip(plans, b.size_bytes)]})
 
-    kind = files.schema["id"].dataType.simpleString()
-    return files.select("id", "size_bytes").mapInPandas(run, f"id {kind}, size_bytes long, tiers array<struct<count: long, size: long>>, max_chunk long, n_chunks long")
+def size_for_seq(tiers: Column | str, seq: Column | str) -> Column:
+    """The size of chunk number seq; behind the last tier, that tier's size."""
+    t, n = _col(tiers), _col(seq).cast("long")
+    found = F.aggregate(
+        t,
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("size")),
+        lambda s, x: F.struct((s["at"] + x["count"]).alias("at"), F.coalesce(s["size"], F.when((x["count"] == 0) | (n < s["at"] + x["count"]), x["size"])).alias("size")),
+        lambda s: s["size"],
+    )
+    return F.coalesce(found, F.element_at(t, -1)["size"], F.lit(DEFAULT_CHUNK).cast("long"))
 
 
-def rank_free(free: list[tuple[str, int]]) -> list[tuple[int, int]]:
-    """(minus free, place in free) of each provider, most free first."""
-    return sorted((-f, i) for i, (_, f) in enumerate(free))
+def estimate_chunks(tiers: Column | str, size: Column | str) -> Column:
+    """How many chunks the tiers make of a file."""
+    t, size = _col(tiers), _col(size).cast("long")
 
+    def step(s: Column, x: Column) -> Column:
+        k = F.ceil(s["left"] / x["size"]).cast("long")
+        k = F.when(x["count"] > 0, F.least(k, x["count"])).otherwise(k)
+        k = F.when(s["left"] > 0, k).otherwise(F.lit(0).cast("long"))
+        return F.struct((s["n"] + k).alias("n"), (s["left"] - k * x["size"]).alias("left"))
 
-def place_file(size: int, free: list[tuple[str, int]], chunk: int, min_free: int = 0, ranked: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str | None]]:
-    """(sequence, size, provider) of a file's chunks, each on the most free provider after the ones before.
+    more = F.concat(t, F.array(_tier(0, F.element_at(t, -1)["size"])))
+    return F.aggregate(more, F.struct(F.lit(0).cast("long").alias("n"), size.alias("left")), step, lambda s: s["n"])
 
-    Providers that hold a chunk already are in a heap, the others in the ranked order, so a chunk
-    costs the logarithm of the file's chunks, whatever the number of providers.
-    """
-    ranked = rank_free(free) if ranked is None else ranked
-    used: list[tuple[int, int]] = []
-    out, seq, at = [], 0, 0
-    while size > 0:
-        n = min(chunk, size)
-        fresh = at < len(ranked) and (not used or ranked[at] < used[0])
-        best = ranked[at] if fresh else used[0] if used else None
-        if best is not None and -best[0] >= max(n, min_free):
-            if fresh:
-                at += 1
-                heapq.heappush(used, (best[0] + n, best[1]))
-            else:
-                heapq.heapreplace(used, (best[0] + n, best[1]))
-            out.append((seq, n, free[best[1]][0]))
-        else:
-            out.append((seq, n, None))
-        size, seq = size - n, seq + 1
-    return out
+
+def plan_for_files(files: DataFrame, spaces: list[int], override: int = 0) -> DataFrame:
+    """(id, size_bytes, tiers, max_chunk, n_chunks) of each file, each as if it came alone."""
+    f = files.select("id", "size_bytes", chunk_schedule("size_bytes", spaces, override).alias("tiers"))
+    return f.select("id", "size_bytes", "tiers", F.array_max(F.transform("tiers", lambda t: t["size"])).alias("max_chunk"), estimate_chunks("tiers", "size_bytes").alias("n_chunks"))
 
 
 def upload_placement(files: DataFrame, providers: DataFrame, now: int, chunk: int, min_free: int = 0) -> DataFrame:
-    """(id, sequence, size, provider_id): a plan for each file, as if it came alone. No provider fits: null."""
-    free = [(r["id"], r["quota_free_bytes"]) for r in eligible(providers, now, 0, min_free).select("id", "quota_free_bytes", "display_name").collect()]
-    ranked = rank_free(free)
+    """(id, sequence, size, provider_id): a plan for each file, as if it came alone, each chunk on the
+    provider with the most free space after the chunks before. No provider fits: null.
+
+    Every file sees the same spaces, so chunk number j always goes to the same provider: the j-th of all
+    values free - k * chunk that still hold a chunk, from the largest down, of equal ones by name. Behind
+    these, only a last, smaller chunk can fit: in the largest rest.
+    """
+    least = max(chunk, min_free)
+    free = eligible(providers, now, 0, min_free).select("id", "quota_free_bytes", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("display_name", "id")).alias("rank"))
+    fits = F.greatest(F.floor((F.col("quota_free_bytes") - least) / chunk) + 1, F.lit(0)).cast("long")
+    held = free.withColumn("k", fits)
+    each = held.where("k > 0").select("id", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"), "quota_free_bytes")
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc(F.col("quota_free_bytes") - F.col("i") * chunk), "rank")
+    picks = each.select((F.row_number().over(order) - 1).cast("long").alias("sequence"), F.col("id").alias("_full"))
+    rest = held.withColumn("rest", F.col("quota_free_bytes") - F.col("k") * chunk).agg(F.min_by(F.struct("id", "rest"), F.struct(-F.col("rest"), F.col("rank"))).alias("_rest"))
+    n = F.ceil(F.col("size_bytes") / chunk).cast("long")
+    parts = files.where("size_bytes > 0").select("id", "size_bytes", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("sequence"))
+    parts = parts.select("id", "sequence", F.least(F.lit(chunk).cast("long"), F.col("size_bytes") - F.col("sequence") * chunk).alias("size"))
+    last = F.when(F.col("_rest.rest") >= F.greatest(F.col("size"), F.lit(min_free)), F.col("_rest.id"))
+    return _with_row(parts.join(picks, "sequence", "left"), rest).select("id", "sequence", "size", F.coalesce("_full", last).alias("provider_id"))
+
+
+def reserve_uploads(files: DataFrame, providers: DataFrame, now: int, chunk: int, min_free: int = 0) -> DataFrame:
+    """(id, sequence, size, provider_id) of a queue of uploads, where each chunk takes its space at once, so
+    later files see what is left. A file of which a chunk doesn't fit gives all its space back: null.
+
+    Files come by (created_at, id). Each choice depends on all before it, as uploads do that run one at
+    a time: one task streams the queue in order and holds one number a provider.
+    """
+    spaces = eligible(providers, now, 0, min_free).agg(F.sort_array(F.collect_list(F.struct("display_name", "id", "quota_free_bytes"))).alias("_free"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heap: list[tuple[int, int]] | None = None
+        names: list[str] = []
         for b in batches:
-            rows = [(i, *r) for i, s in zip(b.id, b.size_bytes) for r in place_file(int(s), free, chunk, min_free, ranked)]
+            rows = []
+            for i, size, free in zip(b.id, b.size_bytes, b._free):
+                if heap is None:
+                    names, heap = [f["id"] for f in free], [(-int(f["quota_free_bytes"]), k) for k, f in enumerate(free)]
+                    heapq.heapify(heap)
+                before, plan, left = heap.copy(), [], int(size)
+                while left > 0:
+                    n = min(chunk, left)
+                    fit = bool(heap) and -heap[0][0] >= max(n, min_free)
+                    plan.append((i, len(plan), n, names[heap[0][1]] if fit else None))
+                    if fit:
+                        heapq.heapreplace(heap, (heap[0][0] + n, heap[0][1]))
+                    left -= n
+                if any(p is None for *_, p in plan):
+                    heap, plan = before, [(*p[:3], None) for p in plan]
+                rows += plan
             yield pd.DataFrame(rows, columns=["id", "sequence", "size", "provider_id"])
 
     kind = files.schema["id"].dataType.simpleString()
-    return files.select("id", "size_bytes").mapInPandas(run, f"id {kind}, sequence long, size long, provider_id string")
+    queue = _with_row(files.select("id", "size_bytes", "created_at").repartition(1).sortWithinPartitions("created_at", "id"), spaces)
+    return queue.select("id", "size_bytes", "_free").mapInPandas(run, f"id {kind}, sequence long, size long, provider_id string")
 
 
 def rollback_credits(plan: DataFrame, failed: DataFrame) -> DataFrame:
     """(provider_id, bytes) to give back for the files in failed (id)."""
     return plan.where("provider_id is not null").join(failed.select("id"), "id", "left_semi").groupBy("provider_id").agg(F.sum("size").alias("bytes"))
+
+
+def shard_credits(shards: DataFrame, failed: DataFrame) -> DataFrame:
+    """(provider_id, bytes, uploaded): space to give back after failed uploads, shard by shard: of shards
+    that were reserved and not sent, and of those sent, whose objects are to be deleted as well.
+    shards: (id, shard_index, provider_id, size, uploaded); failed: (id)."""
+    own = shards.where("provider_id is not null").join(failed.select("id"), "id", "left_semi")
+    return own.groupBy("provider_id", "uploaded").agg(F.sum("size").alias("bytes")).select("provider_id", "bytes", "uploaded")

@@ -19,7 +19,7 @@ CTES: dict[str, str] = {
         CAST(CASE s_suppkey % 5 WHEN 0 THEN {NOW} + 3600 WHEN 1 THEN {NOW} - 3600 END AS BIGINT) AS rate_limited_until
         FROM supplier""",
     "named": """SELECT *, '/' || CASE WHEN o_orderkey % 89 = 0 THEN upper(replace(o_orderpriority, ' ', '_')) ELSE lower(replace(o_orderpriority, ' ', '_')) END AS top,
-        CASE WHEN o_orderkey % 97 = 0 THEN '._' ELSE '' END || 'order_' || o_orderkey || ['.txt', '.pdf', '.jpg', '.mp4', '.zip', '.ts', '.mp3', '.docx'][CAST(o_orderkey % 8 + 1 AS INTEGER)] AS name,
+        CASE WHEN o_orderkey % 97 = 0 THEN '._' WHEN o_orderkey % 53 = 0 THEN '[' ELSE '' END || 'order_' || o_orderkey || ['.txt', '.pdf', '.jpg', '.mp4', '.zip', '.ts', '.mp3', '.docx'][CAST(o_orderkey % 8 + 1 AS INTEGER)] AS name,
         CAST(floor(epoch(o_orderdate)) AS BIGINT) AS made_s FROM orders""",
     "files": """SELECT 'f' || o_orderkey AS id,
         CASE WHEN o_orderkey % 211 = 0 THEN '' WHEN o_orderkey % 50 = 0 THEN top ELSE top || strftime(o_orderdate, '/%Y/%m') END || '/' || name AS virtual_path,
@@ -38,9 +38,10 @@ CTES: dict[str, str] = {
     "chunk_locations": f"SELECT chunk_id, shard_index, 'p' || pk AS provider_id, remote_path, CAST({NOW} AS BIGINT) AS upload_confirmed_at FROM placed",
     "directories": f"""SELECT path, CAST({NOW} AS BIGINT) AS created_at FROM (SELECT '/' || lower(r_name) AS path FROM region
         UNION ALL SELECT '/' || lower(r_name) || '/' || lower(n_name) FROM nation JOIN region ON n_regionkey = r_regionkey)""",
-    "listing": f"""SELECT 'p' || pk AS provider_id, path, regexp_extract(path, '[^/]*$') AS name, CAST(100 AS BIGINT) AS size, false AS is_dir, mtime FROM (
-        SELECT DISTINCT pk, remote_path AS path, CAST({NOW} - 86400 AS BIGINT) AS mtime FROM placed WHERE NOT (l_partkey % 50 = 7 AND pk % 4 <> 1)
-        UNION ALL SELECT p_partkey % (SELECT n FROM nsup), 'chunks/orphan-' || p_partkey, {NOW} - p_partkey % 12 * 100 FROM part) WHERE pk NOT IN (7, 9)""",
+    "listing": f"""SELECT 'p' || pk AS provider_id, CASE pk % 10 WHEN 3 THEN name WHEN 4 THEN 'moved/' || name ELSE path END AS path, name, CAST(100 AS BIGINT) AS size, is_dir, mtime FROM (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM (
+        SELECT DISTINCT pk, remote_path AS path, CAST({NOW} - 86400 AS BIGINT) AS mtime, false AS is_dir FROM placed WHERE NOT (l_partkey % 50 = 7 AND pk % 4 <> 1)
+        UNION ALL SELECT p_partkey % (SELECT n FROM nsup), 'chunks/orphan-' || p_partkey, {NOW} - p_partkey % 12 * 100, false FROM part
+        UNION ALL SELECT s_suppkey, 'chunks/old', {NOW}, true FROM supplier) WHERE pk NOT IN (7, 9))""",
     "scanned": "SELECT id AS provider_id FROM providers WHERE id <> 'p9'",
     "activity_log": """SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'download' WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'upload' WHEN 'signup' THEN 'mkdir' WHEN 'view' THEN 'verify' END AS action,
         '/u' || user_id AS path, CASE WHEN event_id % 4 <> 0 THEN event_type END AS detail, CAST(floor(epoch(ts)) AS BIGINT) AS created_at FROM events""",
@@ -49,7 +50,7 @@ CTES: dict[str, str] = {
         CASE WHEN event_id % 2 = 0 THEN 'error 429: rate limit' ELSE 'quota exceeded' END AS last_error FROM events WHERE event_type = 'error'""",
     "counters": """SELECT CASE event_type WHEN 'click' THEN 'files_downloaded' WHEN 'error' THEN 'files_deleted' WHEN 'purchase' THEN 'files_uploaded' WHEN 'view' THEN 'dedup_hits' ELSE 'other' END AS key, CAST(count(*) AS BIGINT) AS value FROM events GROUP BY 1""",
     "fs_events": """SELECT '/u' || (user_id % 200) AS path, CASE event_type WHEN 'click' THEN 'Create' WHEN 'view' THEN 'Write' WHEN 'purchase' THEN 'Write' WHEN 'error' THEN 'Remove' WHEN 'signup' THEN 'Rename' END AS op,
-        event_id * 7 AS t_ms, 'h' || (user_id % 60) AS content FROM events""",
+        event_id * 7 AS t_ms, 'h' || (event_id % 40) AS content, CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'preparing' WHEN 'purchase' THEN 'uploading' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'complete' END AS state FROM events""",
     "contents": "SELECT 'd' || doc_id AS id, coalesce(text, '') AS content FROM documents",
 }
 
@@ -79,4 +80,4 @@ def with_tables(query: str, **own: str) -> str:
                     order.append(name)
 
     need(query)
-    return ("WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in order) + "\n" if order else "") + query
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n]})" for n in order) + "\n" if order else "") + query

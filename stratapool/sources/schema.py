@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import json
 import tomllib
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,28 +63,60 @@ class Catalog:
         return self
 
 
-def open_catalog(spark: SparkSession, path: str) -> Catalog:
-    """A snapshot's tables; schemas are given, never inferred. A table that is missing is empty."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The stamps of a target's whole snapshots, oldest first."""
+    fs, at = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+
+def open_catalog(spark: SparkSession, path: str, stamp: int | None = None) -> Catalog:
+    """A snapshot's tables, the newest one's unless a stamp is given; schemas are given, never inferred.
+    A table that is missing is empty."""
+    known = versions(spark, path)
+    own = stamp if stamp is not None else known[-1] if known else None
     out = {}
     for n, schema in TABLES.items():
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}")
-        there = at.getFileSystem(hadoop).exists(at)
-        out[n] = spark.read.schema(schema).parquet(f"{path}/{n}") if there else spark.createDataFrame([], schema)
+        fs, at = _fs(spark, f"{path}/v={own}/{n}")
+        out[n] = spark.read.schema(schema).parquet(f"{path}/v={own}/{n}") if own is not None and fs.exists(at) else spark.createDataFrame([], schema)
     return Catalog(**out)
 
 
-def save_catalog(catalog: Catalog, targets: list[str]) -> None:
-    """The same snapshot at every target: locations and chunks laid out by chunk, files by folded path."""
+def save_catalog(catalog: Catalog, targets: list[str], stamp: int, keep: int = 2) -> None:
+    """The same snapshot at every target, as version ``stamp``: locations laid out by chunk, files by folded path.
+
+    A version is written aside and gets its name at once when it is whole, so a crash leaves the
+    versions before it as they are. The newest ``keep`` versions stay.
+    """
     from ..functions.paths import fold
 
+    spark = catalog.files.sparkSession
     for target in targets:
+        aside = f"{target}/.v={stamp}-{uuid.uuid4().hex}"
         for n, df in catalog.tables().items():
             if n == "files":
                 df = df.sortWithinPartitions(fold(F.col("virtual_path")))
             elif n == "chunk_locations":
                 df = df.sortWithinPartitions("chunk_id", "shard_index")
-            df.write.mode("overwrite").parquet(f"{target}/{n}")
+            df.write.mode("overwrite").parquet(f"{aside}/{n}")
+        fs, made = _fs(spark, aside)
+        _, place = _fs(spark, f"{target}/v={stamp}")
+        if fs.exists(place) or not fs.rename(made, place):
+            fs.delete(made, True)
+            raise FileExistsError(f"{target} has a snapshot of stamp {stamp}")
+        for old in versions(spark, target)[:-keep]:
+            fs.delete(_fs(spark, f"{target}/v={old}")[1], True)
+
+
+def backup_blobs(rows: DataFrame, magic: bytes = MAGIC) -> DataFrame:
+    """(…, data) from (…, stamp, content): eight magic bytes, big-endian nanoseconds, content."""
+    stamp = F.unhex(F.lpad(F.hex("stamp"), 16, "0"))
+    return rows.withColumn("data", F.concat(F.lit(magic), stamp, F.col("content").cast("binary"))).drop("stamp", "content")
 
 
 def backup_payloads(blobs: DataFrame, magic: bytes = MAGIC) -> DataFrame:
@@ -129,6 +162,22 @@ def remote_types(configs: DataFrame, json_col: str = "json") -> DataFrame:
     return configs.withColumn("type", F.coalesce(cfg["type"], F.lit("unknown")))
 
 
+def remotes(spark: SparkSession, path: str) -> DataFrame:
+    """(remote) of captured answers {"remotes": [name, ...]}, one document a file."""
+    doc = T.StructType([T.StructField("remotes", T.ArrayType(T.StringType()))])
+    return spark.read.schema(doc).option("multiLine", True).json(path).select(F.explode("remotes").alias("remote"))
+
+
+def remote_config(configs: DataFrame, json_col: str = "json") -> DataFrame:
+    """(…, key, value) of remotes' settings."""
+    return configs.select("*", F.explode(F.from_json(json_col, T.MapType(T.StringType(), T.StringType()))))
+
+
+def without_quota(cache: DataFrame, remotes: list[str] | None = None) -> DataFrame:
+    """The quota cache without the entries of the remotes, or without any."""
+    return cache.where(F.lit(False)) if remotes is None else cache.where(~F.col("remote").isin(*remotes))
+
+
 def local_tree(spark: SparkSession, path: str) -> DataFrame:
     """(path, modified, length) of every file below a directory; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("modificationTime").alias("modified"), "length")

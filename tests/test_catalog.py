@@ -2,6 +2,7 @@
 
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratapool.operators import analytics as an
@@ -75,17 +76,64 @@ def test_cascade_and_sequential_credits(spark):
     assert {tuple(r) for r in q.provider_chunk_bytes(at, c).collect()} == {("p", 21), ("q", 23)}
 
 
+def listing(spark, rows):
+    return spark.createDataFrame(rows, "provider_id string, path string, name string, size long, is_dir boolean, mtime long")
+
+
 def test_reconciliation_edges(spark):
-    at = table(spark, "chunk_locations", [(f"c{i}", 0, p, f"chunks/{i}", 1) for p in ("full", "none", "gone", "base") for i in range(15)])
-    lst = spark.createDataFrame([("full", f"chunks/{i}", f"{i}", 1, False, 0) for i in range(15)] + [("full", "chunks/x", "x", 1, False, None), ("full", "chunks/y", "y", 1, False, 950), ("full", "dir", "dir", 1, True, 0)] + [("base", f"{i}", f"{i}", 1, False, 0) for i in range(15)], "provider_id string, path string, name string, size long, is_dir boolean, mtime long")
-    scanned = spark.createDataFrame([("full",), ("none",), ("base",)], "provider_id string")
+    at = table(spark, "chunk_locations", [(f"c{i}", 0, p, f"chunks/{i}", 1) for p in ("full", "none", "gone", "base", "name") for i in range(15)])
+    lst = listing(spark, [("full", f"chunks/{i}", f"{i}", 1, False, 0) for i in range(15)] + [("full", "chunks/x", "x", 1, False, None), ("full", "chunks/y", "y", 1, False, 950), ("full", "dir", "dir", 1, True, 0)] + [("base", f"{i}", f"{i}", 1, False, 0) for i in range(15)] + [("name", f"else/{i}", f"{i}", 1, False, 0) for i in range(14)] + [("name", "chunks/14", "14", 1, True, 0)])
+    scanned = spark.createDataFrame([("full",), ("none",), ("base",), ("name",)], "provider_id string")
     got = {r.provider_id: (r.known, r.missing, r.stopped) for r in an.gc_missing_ratio(at, lst, scanned).collect()}
-    assert got == {"full": (15, 0, False), "none": (15, 15, True), "base": (15, 0, False)}
-    assert {(r.remote_path, r.old) for r in an.gc_orphans(at, lst, 1000).collect()} == {("chunks/x", True), ("chunks/y", False)}
-    verdicts = {r.provider_id: r.verdict for r in an.gc_classification(at, lst, scanned, 1000).collect()}
-    assert verdicts == {"full": "clean", "none": "stopped", "base": "clean"}
+    assert got == {"full": (15, 0, False), "none": (15, 15, True), "base": (15, 0, False), "name": (15, 1, False)}  # a directory is no object
+    assert {(r.provider_id, r.remote_path, r.old) for r in an.gc_orphans(at, lst, 1000).where("provider_id <> 'name'").collect()} == {("full", "chunks/x", True), ("full", "chunks/y", False)}
+    assert an.gc_orphans(at, lst, 1000).where("provider_id = 'name'").count() == 14  # of another directory: vouched for, and strange
+    verdicts = {r.provider_id: (r.missing, r.verdict) for r in an.gc_classification(at, lst, scanned, 1000).collect()}
+    assert verdicts == {"full": (0, "clean"), "none": (15, "stopped"), "base": (0, "clean"), "name": (1, "lossy")}
     c = table(spark, "chunks", [(f"c{i}", f"f{i}", 0, 1, "s", 1, 1, 0) for i in range(15)])
-    assert an.gc_broken_files(at, c, lst, scanned).count() == 0
+    assert [r.file_id for r in an.gc_broken_files(at, c, lst, scanned).collect()] == ["f14"]
+
+
+def test_bare_names_are_not_missing(spark):
+    at = table(spark, "chunk_locations", [("c", 0, "p", "old/abc", 1)])
+    one = spark.createDataFrame([("p",)], "provider_id string")
+    bare = listing(spark, [("p", "abc", "abc", 1, False, 0)])
+    assert an.gc_classification(at, bare, one, 1000).first().verdict == "clean" and an.gc_missing(at, bare, one).count() == 0
+    assert an.gc_missing(at, listing(spark, [("p", "sub/abc", "abc", 1, False, 0)]), one).count() == 1  # neither path nor bare name
+
+
+def test_safety_stop_keeps_files_and_purge_cascades(spark):
+    f = files(spark, *[(f"/{i}", 4, "h", "complete") for i in range(15)])
+    c = table(spark, "chunks", [(f"c{i}", f"f{i}", 0, 4, "s", 4, 1, 0) for i in range(15)] + [("lost", "nofile", 0, 4, "s", 4, 1, 0)])
+    at = table(spark, "chunk_locations", [(f"c{i}", 0, "p", f"chunks/{i}", 1) for i in range(15)])
+    cat = sc.Catalog(table(spark, "providers", []), f, c, at, *(table(spark, n, []) for n in ("directories", "failed_deletions", "activity_log", "counters")))
+    one = spark.createDataFrame([("p",)], "provider_id string")
+
+    def after(there):
+        lst = listing(spark, [("p", f"chunks/{i}", f"{i}", 1, False, 0) for i in there])
+        return mu.purge_files(cat, an.gc_broken_files(at, c, lst, one))
+
+    out = after([])
+    assert out.files.count() == 15 and out.chunks.count() == 15 and out.chunk_locations.count() == 15  # stopped; the orphan record goes
+    out = after(range(2, 15))
+    assert names(out.files, "id") == sorted(f"f{i}" for i in range(2, 15)) and out.chunks.count() == 13 and out.chunk_locations.count() == 13
+
+
+def test_replace_and_swap(spark):
+    f = files(spark, ("/donor", 1, "h", "complete"), ("/old", 1, "k", "complete"), ("/wait", 1, "h", "pending"))
+    c = table(spark, "chunks", [("a", "f0", 0, 1, "s", 1, 1, 0), ("b", "f1", 0, 1, "s", 1, 1, 0)])
+    at = table(spark, "chunk_locations", [("a", 0, "p", "x", 1), ("b", 0, "p", "y", 1), ("b", 1, "q", "x", 1)])
+    cat = sc.Catalog(table(spark, "providers", []), f, c, at, *(table(spark, n, []) for n in ("directories", "failed_deletions", "activity_log", "counters")))
+    new = spark.createDataFrame([("n", "/old", 1, 2, 2, "h", "pending", "/t")], sc.TABLES["files"])
+    out = mu.clone_and_replace(cat, new)
+    assert {(r.id, r.virtual_path, r.upload_state) for r in out.files.collect()} == {("f0", "/donor", "complete"), ("n", "/old", "complete"), ("f2", "/wait", "pending")}
+    assert names(out.chunks, "id") == ["a", "n/0"] and {tuple(r)[:4] for r in out.chunk_locations.collect()} == {("a", 0, "p", "x"), ("n/0", 0, "p", "x")}
+    chunk, place = table(spark, "chunks", [("z", "n", 0, 1, "s", 1, 1, 0)]), table(spark, "chunk_locations", [("z", 0, "p", "z", 1)])
+    out, objects = mu.overwrite_swap(cat, new, chunk, place)
+    assert names(out.files, "id") == ["f0", "f2", "n"] and names(out.chunks, "id") == ["a", "z"]
+    assert [tuple(r) for r in objects.collect()] == [("p", "y")]  # x is the donor's as well
+    both = spark.createDataFrame([("n", "/c", 1, 1, 1, "h", "", None), ("n", "/d", 1, 1, 2, "h", "", None), ("m", "/d", 1, 1, 1, "h", "", None)], sc.TABLES["files"])
+    assert {(r.id, r.virtual_path) for r in mu.insert_files(f.limit(0), both).collect()} == {("n", "/d")}
 
 
 def test_integrity_cases(spark):
@@ -99,11 +147,20 @@ def test_integrity_cases(spark):
 def test_sources_and_snapshots(spark, tmp_path):
     f = files(spark, ("/a", 1, "h", "complete"))
     cat = sc.Catalog(table(spark, "providers", []), f, *(table(spark, n, []) for n in ("chunks", "chunk_locations", "directories", "failed_deletions", "activity_log", "counters")))
-    sc.save_catalog(cat, [str(tmp_path / "s1"), str(tmp_path / "s2")])
+    targets = [str(tmp_path / "s1"), str(tmp_path / "s2")]
+    for stamp in (5, 7, 9):
+        sc.save_catalog(cat if stamp == 9 else cat.replace(files=f.limit(0)), targets, stamp)
+    assert sc.versions(spark, targets[1]) == [7, 9] and sc.open_catalog(spark, targets[0], 7).files.count() == 0
+    (tmp_path / "s1" / ".v=11-crashed" / "files").mkdir(parents=True)  # written aside and never named
+    assert sc.open_catalog(spark, targets[0]).files.count() == 1
+    with pytest.raises(FileExistsError):
+        sc.save_catalog(cat, targets[:1], 9)
     again = sc.open_catalog(spark, str(tmp_path / "s2")).views()
     assert names(again.files) == ["/a"] and again.files.schema == sc.TABLES["files"] and spark.sql("SELECT count(*) n FROM files").first().n == 1
     assert sc.open_catalog(spark, str(tmp_path / "nothing")).counters.count() == 0
     blob = lambda t, b: sc.MAGIC + struct.pack(">Q", t) + b
+    made = sc.backup_blobs(spark.createDataFrame([(5, "old")], "stamp long, content string")).first().data
+    assert bytes(made) == blob(5, b"old")
     blobs = spark.createDataFrame([("a", bytearray(blob(5, b"old"))), ("b", bytearray(blob(9, b"new"))), ("c", bytearray(blob(9, b"tie"))), ("d", bytearray(b"junk")), ("e", bytearray(blob(0, b"zero")))], "source string, data binary")
     best = sc.newest_backup(blobs).first()
     assert (best.source, best.stamp, bytes(best.content)) == ("b", 9, b"new") and sc.newest_backup(blobs.where("source > 'c'")).count() == 0

@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratapool.operators import content as co
 from stratapool.operators import placement as pl
@@ -14,25 +15,51 @@ def providers(spark, *free):
     return spark.createDataFrame([(f"p{i}", "t", f"n{i}", f"r{i}", "", 1, f, 1, None) for i, f in enumerate(free)], TABLES["providers"])
 
 
-def test_plan_examples():
-    assert pl.plan_chunks(100 * MIB, [GIB]) == [(0, 100 * MIB)]
-    assert pl.plan_chunks(8 * GIB, [20 * GIB]) == [(0, 4 * GIB)] and pl.estimate_chunks([(0, 4 * GIB)], 8 * GIB) == 2
-    assert pl.estimate_chunks(pl.plan_chunks(5 * GIB, [3 * GIB, 3 * GIB]), 5 * GIB) == 2
-    assert 3 <= pl.estimate_chunks(pl.plan_chunks(10 * GIB, [6 * GIB, 3 * GIB, 2 * GIB]), 10 * GIB) <= 4
-    assert pl.plan_chunks(20 * GIB, [50 * GIB, 30 * GIB]) == [(0, 4 * GIB)] and pl.estimate_chunks([(0, 4 * GIB)], 20 * GIB) == 5
-    assert max(s for _, s in pl.plan_chunks(MIB, [0, 10])) == 32 * MIB
-    assert pl.plan_chunks(0, [5]) == pl.plan_chunks(5, []) == [(0, 32 * MIB)] and pl.chunk_schedule(5, [9], 2) == [(0, 2)]
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.integers(1, 1 << 36), st.lists(st.integers(-5, 1 << 34), max_size=6))
-def test_plan_covers_the_file(size, spaces):
-    tiers, left, n = pl.plan_chunks(size, spaces), size, 0
-    while left > 0 and n < 5000:
-        left -= min(left, pl.size_for_seq(tiers, n))
-        n += 1
-    assert left > 0 or n == pl.estimate_chunks(tiers, size)
-    assert all(0 < s <= pl.MAX_CHUNK for _, s in tiers)
+def plan(spark, *cases):
+    """(tiers, number of chunks) for each (size, spaces)."""
+    out = []
+    for size, spaces in cases:
+        r = spark.createDataFrame([(size,)], "size long").select(pl.plan_chunks("size", list(spaces)).alias("t"), "size").select("t", pl.estimate_chunks("t", "size").alias("n")).first()
+        out.append(([tuple(x) for x in r.t], r.n))
+    return out
+
+
+def test_plan_examples(spark):
+    a, b, c, d, e, f, g, h = plan(spark, (100 * MIB, [GIB]), (8 * GIB, [20 * GIB]), (5 * GIB, [3 * GIB, 3 * GIB]), (10 * GIB, [6 * GIB, 3 * GIB, 2 * GIB]), (20 * GIB, [50 * GIB, 30 * GIB]), (MIB, [0, 10]), (0, [5]), (5, []))
+    assert a == ([(0, 100 * MIB)], 1) and b == ([(0, 4 * GIB)], 2) and c[1] == 2 and 3 <= d[1] <= 4 and e == ([(0, 4 * GIB)], 5)
+    assert max(s for _, s in f[0]) == 32 * MIB and g[0] == h[0] == [(0, 32 * MIB)]
+
+
+def brute_plan(size, spaces):
+    usable = sorted((s for s in spaces if s > 0), reverse=True)
+    if size <= 0 or not usable:
+        return [(0, 32 * MIB)]
+    if usable[0] >= size:
+        return [(0, min(size, 4 * GIB))]
+    tiers = []
+    while size > 0:
+        k = usable.index(max(usable))
+        take = min(usable[k], 4 * GIB, size)
+        if take <= 0:
+            tiers.append((0, 32 * MIB))
+            break
+        tiers.append((1, take))
+        usable[k], size = usable[k] - take, size - take
+    return [(0, tiers[0][1])] if len({t for _, t in tiers}) == 1 else tiers
+
+
+def test_plans_against_a_plain_loop_cover_the_file(spark):
+    rng = random.Random(6)
+    cases = [(rng.randint(1, 1 << 36), [rng.randint(-5, 1 << 34) for _ in range(rng.randint(0, 6))]) for _ in range(12)]
+    for (size, spaces), (tiers, n) in zip(cases, plan(spark, *cases)):
+        assert tiers == brute_plan(size, spaces)
+        flat = [s for k, s in tiers for _ in range(k)] + [tiers[-1][1]] * n
+        left, used = size, 0
+        while left > 0:
+            left, used = left - flat[used], used + 1
+        assert used == n
+    row = spark.createDataFrame([([(1, 10), (2, 7), (0, 3)],)], "t array<struct<count: long, size: long>>")
+    assert [row.select(pl.size_for_seq("t", F.lit(k)).alias("s")).first().s for k in range(6)] == [10, 7, 7, 3, 3, 3]
 
 
 def test_weighted_draws(spark):
@@ -52,7 +79,6 @@ def test_limits_and_shards(spark):
     req = spark.createDataFrame([(1, 5, [0.0, 0.99, 0.5, 0.1, 0.1])], "id int, n int, uniforms array<double>")
     got = [r.provider_id for r in pl.assign_shards_pfrd(req, p, 0, 1).orderBy("shard_index").collect()]
     assert sorted(got[:3]) == ["p0", "p2", "p3"] and got[3:] == ["p0", "p2"]
-    assert pl.place_file(25, [("a", 20), ("b", 15)], 10) == [(0, 10, "a"), (1, 10, "b"), (2, 5, "a")] and pl.place_file(5, [("a", 1)], 5) == [(0, 5, None)]
 
 
 @settings(max_examples=60, deadline=None)

@@ -40,9 +40,58 @@ def test_debounce_stream_matches_batch(spark, tmp_path):
 def test_rename_and_stream(spark, tmp_path):
     e = events(spark, ("/old", "Remove", 1000, "h"), ("/new", "Create", 1500, "h"), ("/late", "Remove", 5000, "k"), ("/x", "Create", 5501, "k"), ("/same", "Remove", 9000, "m"), ("/same", "Create", 9100, "m"), ("/two", "Create", 1600, "h"))
     assert [(r.old_path, r.new_path) for r in ev.rename_matches(e).collect()] == [("/old", "/new")]
-    one = e.where("path not in ('/two', '/same')")
-    got = drain(ev.rename_matches_stream(stream(spark, one, str(tmp_path / "r"))), "renamed")
-    assert [(r.old_path, r.new_path) for r in got] == [("/old", "/new")]
+    assert sorted((r.path, r.deletes_ms) for r in ev.deferred_deletes(e).collect()) == [("/late", 5500)]
+    moved = events(spark, ("/a", "Rename", 0, "h"), ("/b", "Create", 10, "h"), ("/d", "Rename", 0, "x"))
+    assert [(r.old_path, r.new_path) for r in ev.rename_matches(moved).collect()] == [("/a", "/b")]
+    assert [r.path for r in ev.deferred_deletes(moved, spark.createDataFrame([("/d",)], "path string")).collect()] == []
+    assert {(r.path, r.action) for r in ev.directory_removals(moved, spark.createDataFrame([("/d",)], "path string")).collect()} == {("/a", "wait"), ("/d", "delete_tree")}
+    last = events(spark, ("/end", "Create", 10_000_000, "end"))  # the watermark passes all before it
+    got = drain(ev.renames_stream(stream(spark, e.unionByName(last), str(tmp_path / "r"))), "renamed")
+    assert sorted((r.kind, r.old_path, r.new_path, r.at_ms) for r in got) == [("delete", "/late", None, 5500), ("rename", "/old", "/new", 1500)]
+    got = drain(ev.rename_matches_stream(stream(spark, e.unionByName(last), str(tmp_path / "r"))), "renamed_only")
+    assert sorted(map(tuple, got))[:1] == sorted(map(tuple, ev.rename_matches(e).collect()))
+
+
+def test_long_orders_in_stretches(spark):
+    import random
+
+    rng = random.Random(8)
+    times = sorted(rng.sample(range(5_000_000), 300))
+    c = spark.createDataFrame([(t,) for t in times], "t_ms long")
+    ups = [(t, t + 90_000) for t in times[::40]]
+    want = [a + 30_000 for a, b in zip(times, times[1:]) if b - a > 30_000] + [times[-1] + 30_000]
+    assert sorted(r.fires_ms for r in ev.backup_times(c).collect()) == sorted(want)
+    busy = [max([f, *(b for a, b in ups if a <= f)]) for f in want]
+    assert sorted(r.fires_ms for r in ev.backup_times(c, spark.createDataFrame(ups, "from_ms long, to_ms long")).collect()) == sorted(busy)
+    tokens, at, grants = 3.0, None, []
+    for t in times:
+        now = t if at is None else max(t, at)
+        tokens = min(3.0, tokens + (0 if at is None else now - at) * 0.05 / 1000)
+        at = now
+        if tokens < 1:
+            at += (1 - tokens) * 1000 / 0.05
+            tokens = 1.0
+        tokens -= 1
+        grants.append(at)
+    r = c.withColumn("key", F.lit(None).cast("string"))
+    got = sorted(x.granted_ms for x in ev.token_bucket(r, 3, 0.05, width_ms=100_000).collect())
+    assert max(abs(a - b) for a, b in zip(got, sorted(grants))) < 0.1
+    s = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (9, "a"), (9, "c"), (1 << 20, "c")], "at long, path string")
+    from stratapool.operators import analytics as an
+
+    assert sorted(r["at"] for r in an.set_changes(s).collect()) == [2, 1 << 20]
+
+
+def test_triggers_and_runs(spark):
+    runs = spark.createDataFrame([("r", 0, 2 * ev.DAY_MS)], "run string, from_ms long, to_ms long")
+    nudges = spark.createDataFrame([("r", 3_600_000), ("r", 10)], "run string, t_ms long")
+    got = {}
+    for r in ev.trigger_times(runs, nudges).collect():
+        got.setdefault(r.job, []).append(r.at_ms)
+    assert len(got["sync"]) == 2880 and len(got["retry"]) == 48 and sorted(got["gc"]) == [60_000, 3_720_000, 3_720_000 + ev.DAY_MS]
+    rows = [("/a", 0, "queued"), ("/a", 1, "preparing"), ("/a", 2, "uploading"), ("/a", 3, "complete"), ("/a", 9, "queued"), ("/a", 10, "complete")]
+    out = ev.upload_runs(spark.createDataFrame(rows, "path string, t_ms long, state string")).orderBy("run").collect()
+    assert [(r.run, r.state, r.started_ms, r.steps, r.valid) for r in out] == [(1, "complete", 0, 4, True), (2, "complete", 9, 2, False)]
 
 
 def test_echo_counters_progress_bucket(spark, tmp_path):
