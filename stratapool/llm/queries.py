@@ -99,5 +99,15 @@ def queries() -> dict:
     }
 
 
+SUBSTRINGS_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, doc_id, i, array_to_string(w[i : i + 49], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d)),
+lowest AS (SELECT g, min(doc_id) AS low FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM windows JOIN lowest USING (g) WHERE doc_id > low),
+runs AS (SELECT r, count(*) AS n_removed, count(*) FILTER (p - 1 <> coalesce(before, -1)) AS n_repeats FROM (SELECT *, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM gone) GROUP BY r),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(n_repeats, 0) AS n_repeats FROM d LEFT JOIN runs USING (r) LEFT JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others draw at random, are learned, or hash and encode in ways that SQL lacks."""
+    return {"op4_substring_dedup": SUBSTRINGS_SQL}

@@ -10,10 +10,11 @@ texts share, one of them with a block, are hits.
 Hits are extended exactly: around them each document gives the 128-bit hash of every window that
 touches a hit, and the smallest doc_id is kept for each hash. What later documents share with an
 earlier one, window by window, is joined into maximal repeats and taken out. No pairs of documents
-are formed. Copies of a whole word sequence are settled beforehand by their hash: all but those of
+are formed. Copies of a whole word sequence are settled beforehand by their SHA-256: all but those of
 the smallest doc_id go whole, and stay out of the search.
 
-Null texts have no words. Documents below ``window`` words, and rows without doc_id, lose nothing
+An empty table gives an empty one. A text is held whole by one task, whatever its length, its windows
+in groups. Null texts have no words. Documents below ``window`` words, and rows without doc_id, lose nothing
 and take nothing from others. Rows of equal doc_id take nothing from each other. Other columns are
 not looked at (``dedup`` passes them through).
 """
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import Workspace, enter, id_type, join_sums, prepare
 
@@ -36,6 +38,7 @@ WINDOW = 50
 GRAM = 13
 GROUP_BYTES = 1 << 20
 GROUP_WINDOWS = 1 << 17
+SAMPLE, HOT = 20_000, 1000
 R1, R2, R3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
@@ -197,6 +200,26 @@ def _cut(window: int):
     return run
 
 
+def hot(sampled: DataFrame, keys: list[str]) -> DataFrame:
+    """At most HOT keys that are the most frequent in the rows of a bounded sample of texts."""
+    return F.broadcast(sampled.groupBy(*keys).count().where("count > 50").orderBy(F.desc("count"), *keys).limit(HOT).select(*keys))
+
+
+def among(rows: DataFrame, frequent: DataFrame, keys: list[str], sums: list, where: str) -> DataFrame:
+    """rows that fulfil ``where``, which may name their own columns and sums (name, (function, column)) over all rows of their keys.
+
+    Rows are shuffled once, by a window. Those of frequent keys are summed map-side and stay where they
+    are; what is taken for frequent decides on that only, not on the result.
+    """
+    w = W.partitionBy(*keys)
+    names = [n for n, _ in sums]
+    cold = rows.join(frequent, keys, "left_anti").select("*", *[f(c).over(w).alias(n) for n, (f, c) in sums]).where(where).drop(*names)
+    own = rows.join(frequent, keys, "left_semi")
+    few = own.groupBy(*keys).agg(*[f(c).alias(n) for n, (f, c) in sums])
+    warm = own.join(F.broadcast(few), keys).where(where).drop(*names)
+    return cold.unionByName(warm)
+
+
 def removals(ws: Workspace, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, same, n_words, n_removed, kept_sha256, first, stop), one row for each of docs.
 
@@ -211,21 +234,21 @@ def removals(ws: Workspace, docs: DataFrame, window: int = WINDOW, gram: int = G
     anchors = ws.save(rows.mapInArrow(_anchor(window, gram), schema))
     known = anchors.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
 
-    first = known.groupBy("same").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    copies = ws.save(join_sums(known.select("doc_id", "same"), first, ["same"], "n", known.count()).where("doc_id > low").select("doc_id", "same").distinct())
+    first = known.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    n_known = known.count()
+    copies = ws.save(join_sums(known.select("doc_id", "same", "sha"), first, ["sha"], "n", n_known).where("doc_id > low").select("doc_id", "same").distinct())
 
-    runs = known.select("doc_id", "same", F.inline(F.arrays_zip("key", "lo", "hi", "anchored")))
-    hits = runs.groupBy("key").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.max("anchored").alias("c"), F.count("*").alias("n")).where("a < b and c").select("key", "n")
-    total = known.agg(F.coalesce(F.sum(F.size("key")), F.lit(0))).first()[0]
-    by_doc = join_sums(runs.drop("anchored"), hits, ["key"], "n", total).groupBy("doc_id", "same").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    by_doc = by_doc.join(copies, ["doc_id", "same"], "left_anti")
+    some = F.pmod(F.xxhash64("sha"), F.lit(-(-n_known // SAMPLE) or 1)) == 0
+    spread = lambda df: df.select("doc_id", "same", F.inline(F.arrays_zip("key", "lo", "hi", "anchored")))
+    two = [("a", (F.min, "same")), ("b", (F.max, "same")), ("c", (F.max, "anchored"))]
+    hits = among(spread(known), hot(spread(known.where(some)), ["key"]), ["key"], two, "a < b and c")
+    by_doc = hits.groupBy("doc_id", "same").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).join(copies, ["doc_id", "same"], "left_anti")
     texts = ws.save(rows.join(by_doc, "doc_id").select("doc_id", "text", "same", "runs"))
 
-    windows = ws.save(texts.mapInArrow(_windows(window), f"doc_id {kind}, same long, s int, h1 long, h2 long"))
-    low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high")
-    shared = join_sums(windows, low, ["h1", "h2"], "n", windows.count()).where("doc_id > low").groupBy("doc_id", "same").agg(F.collect_set("s").alias("starts"))
-    shared = ws.save(shared)
-    ws.drop(windows)
+    windows = lambda df: df.mapInArrow(_windows(window), f"doc_id {kind}, same long, s int, h1 long, h2 long")
+    some = F.pmod(F.xxhash64("same"), F.lit(-(-n_known // SAMPLE) or 1)) == 0
+    shared = among(windows(texts), hot(windows(texts.where(some)), ["h1", "h2"]), ["h1", "h2"], [("low", (F.min, "doc_id"))], "doc_id > low")
+    shared = ws.save(shared.groupBy("doc_id", "same").agg(F.collect_set("s").alias("starts")))
     cut = texts.select("doc_id", "text", "same").join(shared, ["doc_id", "same"]).select("doc_id", "text", "same", "starts").mapInArrow(_cut(window), f"doc_id {kind}, same long, n_removed long, kept_sha256 string, first array<long>, stop array<long>")
     cut = cut.dropDuplicates(["doc_id", "same"])
 

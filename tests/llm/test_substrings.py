@@ -56,3 +56,19 @@ def test_hash_helpers():
         got = substrings.window_hashes(h, k, substrings.R1)
         assert len(got) == 301 - k and (got[7] == substrings.window_hashes(h[7 : 7 + k], k, substrings.R1)[0])
         assert substrings.sliding_min(h, k).tolist() == [min(h[i : i + k].tolist()) for i in range(301 - k)]
+
+
+def test_frequent_keys_and_the_sql(spark, monkeypatch):
+    from stratapool.llm import queries
+
+    from ..oracle import compare, connect
+
+    d = "/root/testdata/sf0.01"
+    assert compare(queries.op4_substring_dedup(spark, d), connect(d), queries.oracle_sql()["op4_substring_dedup"]) is None
+    rng = random.Random(9)
+    passage = " ".join(rng.choices([f"w{i}" for i in range(500)], k=70))
+    rows = [(i, f"{passage} a{i}" if i % 2 else f"b{i} c{i} {passage}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (0, 3, 1000):  # rows of frequent keys go another way to the same result
+        monkeypatch.setattr(substrings, "HOT", most)
+        assert shape((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.report(df).collect()) == shape(x[:4] for x in brute(rows))
