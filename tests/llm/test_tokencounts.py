@@ -9,8 +9,8 @@ def test_documents_against_the_codec(spark, sf_dir):
     df = spark.createDataFrame(rows, "doc_id long, text string, file int")
     c = bpe.Codec(bpe.read_ranks())
     want = sorted(repr((d, len(c.encode([t or ""])[0]) // 4)) for d, t, _ in rows)
-    for block in (100, 1 << 18):
-        got = tokencounts.of_documents(df, block_tokens=block).collect()
+    for block, size in ((100, 4096), (1 << 18, 1 << 26)):
+        got = tokencounts.of_documents(df, block_tokens=block, range_bytes=size).collect()
         assert sorted(repr((r.doc_id, r.n_tokens)) for r in got) == want
         by = {}
         for r in sorted(got, key=lambda r: (r.file, r.ordinal)):
@@ -32,7 +32,16 @@ def test_flat_files_against_plain_loop(spark, tmp_path):
                 at, k = p + 1, k + 1
             elif at < n:
                 want.append((i, k, n - at, at, False))
-    for block in (1, 3, 64, 5000):
-        blocks = tokencounts.flat_files(spark, str(tmp_path), 2, block)
+    for block, size in ((1, 6), (3, 100), (64, 1), (5000, 1 << 26)):  # the large files lie in several ranges
+        blocks = tokencounts.flat_files(spark, str(tmp_path), 2, block, size)
         got = [(int(r.file.rsplit("f", 1)[1][0]), r.ordinal, r.n_tokens, r.first_token, r.closed) for r in tokencounts.count(blocks, 3, 2).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_files_that_are_no_identifiers(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError):
+        tokencounts.flat_files(spark, str(tmp_path), 2)
+    assert tokencounts.count(tokencounts.flat_files(spark, str(tmp_path / "none"), 2), 3, 2).count() == 0
