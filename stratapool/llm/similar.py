@@ -13,7 +13,7 @@ of that similarity share, and only rows under one key are compared:
   0.8. Texts up to LONG / similarity have both kinds of keys, so mixed pairs meet as well.
 * Under a key, numpy compares tiles of rows by exclusive-or and bit counts, skipping tile pairs whose
   population counts differ beyond RADIUS bits. Pairs beyond it (at 0.8: one in a million) are left out;
-  of fewer than SHORT shingles none is. First each row is only paired with its nearest one, and
+  of fewer than SHORT shingles none is. First each text is only paired with its nearest one, and
   components are formed; keys whose rows lie in one component are done, so a large group of near
   copies costs about its size. When the pairs left are few, or after TURNS turns, all that are left
   between different components are compared.
@@ -231,8 +231,16 @@ def _tiles(similarity: float, radius: int, nearest: bool):
                     us.append(u)
                     vs.append(v)
             u, v = np.concatenate(us), np.concatenate(vs)
+            if nearest:  # from here on, the one of the fewest bits for each row
+                u, v = np.r_[u, v], np.r_[v, u]
+                order = np.lexsort((v, np.bitwise_count(g.sim[u] ^ g.sim[v]), u))
+                u, v = u[order], v[order]
+                first = np.r_[True, u[1:] != u[:-1]][: len(u)]
+                u, v = u[first], v[first]
+            bits = np.bitwise_count(g.sim[u] ^ g.sim[v]).astype(np.int32)
             for k in range(0, len(u), PAIRS):
-                yield pa.RecordBatch.from_arrays([fp.take(pa.array(u[k : k + PAIRS])), fp.take(pa.array(v[k : k + PAIRS]))], ["u", "v"])
+                part = slice(k, k + PAIRS)
+                yield pa.RecordBatch.from_arrays([fp.take(pa.array(u[part])), fp.take(pa.array(v[part])), pa.array(bits[part])], ["u", "v", "bits"])
 
     return run
 
@@ -296,7 +304,10 @@ def similar_classes(ws: Workspace, docs: DataFrame, rows: DataFrame, text_col: s
             break
         last = turn > 0 and left <= few * n_rows or turn == TURNS
         dealt = deal(lists.join(sizes.select("token"), "token"), "token", "fp", block_rows)
-        pairs = dealt.mapInArrow(_tiles(similarity, radius, not last), "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        pairs = dealt.mapInArrow(_tiles(similarity, radius, not last), "u binary, v binary, bits int")
+        if not last:  # of the nearest under each key, the nearest: at most one pair for each text
+            pairs = pairs.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("near")).select("u", F.col("near.v").alias("v"))
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         edges = ws.save(edges.unionByName(near(pairs)))
         roots = connected_components(edges, "u", "v")
         if last:
