@@ -21,6 +21,7 @@ not looked at (``dedup`` passes them through).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -135,8 +136,53 @@ def _anchor(window: int, gram: int):
     return run
 
 
-def _windows(window: int):
-    block = window // 2
+def touching(words: list[bytes], runs: pa.StructScalar, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that touch a hit: where they start, and their hashes."""
+    block, h, flat = window // 2, word_hashes(words), runs.values
+    edge = np.zeros(len(words) - block + 2, np.int64)
+    np.add.at(edge, flat.field(0).to_numpy(), 1)
+    np.add.at(edge, flat.field(1).to_numpy(), -1)
+    hit = np.r_[0, np.cumsum(np.cumsum(edge[:-1]) > 0)]
+    s = np.flatnonzero(hit[window - block + 1 :] - hit[: -(window - block + 1)] > 0)
+    return s, window_hashes(h, window, R1)[s], window_hashes(h, window, R2)[s]
+
+
+class Frequent:
+    """Windows' hashes that are frequent in a bounded sample; of those that share h1 one is held."""
+
+    def __init__(self, h1: list[int], h2: list[int]):
+        self.h1, at = np.unique(np.array(h1, np.int64).view(np.uint64), return_index=True)
+        self.h2 = np.array(h2, np.int64).view(np.uint64)[at]
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The number of each hash here, -1 for none."""
+        if not len(self.h1):
+            return np.full(len(h1), -1)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), at, -1)
+
+
+def _frequent_lows(window: int, frequent: Frequent):
+    """The smallest doc_id of each frequent window among a batch's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
+        for batch in batches:
+            order = pc.sort_indices(batch.column(0)).to_numpy()
+            low = np.full(len(frequent.h1), len(order))
+            for rank, i in enumerate(order.tolist()):
+                words = (batch.column(1)[i].as_py() or b"").split()
+                if identity(b" ".join(words)) == batch.column(2)[i].as_py():
+                    at = frequent.find(*touching(words, batch.column(3)[i], window)[1:])
+                    low[at[at >= 0]] = np.minimum(low[at[at >= 0]], rank)
+            own = np.flatnonzero(low < len(order))
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column(0).take(pa.array(order[low[own]]))], ["k", "low"])
+
+    return run
+
+
+def _windows(window: int, frequent: Frequent):
+    """The windows that touch a hit, but for the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("substrings")
@@ -157,15 +203,10 @@ def _windows(window: int):
                 words = (text.as_py() or b"").split()
                 if identity(b" ".join(words)) != same:  # another row of this doc_id
                     continue
-                h = word_hashes(words)
-                edge = np.zeros(len(words) - block + 2, np.int64)
-                flat = runs.values
-                np.add.at(edge, flat.field(0).to_numpy(), 1)
-                np.add.at(edge, flat.field(1).to_numpy(), -1)
-                hit = np.r_[0, np.cumsum(np.cumsum(edge[:-1]) > 0)]
-                s = np.flatnonzero(hit[window - block + 1 :] - hit[: -(window - block + 1)] > 0)
-                parts.append((i, same, s, window_hashes(h, window, R1)[s], window_hashes(h, window, R2)[s]))
-                held += len(s)
+                s, h1, h2 = touching(words, runs, window)
+                cold = frequent.find(h1, h2) < 0
+                parts.append((i, same, s[cold], h1[cold], h2[cold]))
+                held += int(cold.sum())
                 if held > GROUP_WINDOWS:
                     yield flush()
                     held = 0
@@ -182,16 +223,28 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(window: int):
+def _cut(window: int, frequent: Frequent, lows: list):
+    """lows: the smallest doc_id of each frequent window."""
+    ascending = sorted(lows)
+    rank = np.array([bisect.bisect_left(ascending, x) for x in lows], np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("substrings")
         for batch in batches:
             out = []
-            for doc, text, same, starts in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+            for doc, text, same, starts, runs in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
                 words = (text.as_py() or b"").split()
                 if identity(b" ".join(words)) != same:
                     continue
-                gone = covered(len(words), starts.values.to_numpy(zero_copy_only=False).astype(np.int64), window)
+                at = starts.values.to_numpy(zero_copy_only=False).astype(np.int64) if starts.is_valid else np.empty(0, np.int64)
+                if len(rank):
+                    s, h1, h2 = touching(words, runs, window)
+                    k = frequent.find(h1, h2)
+                    s, k = s[k >= 0], k[k >= 0]
+                    at = np.r_[at, s[rank[k] < bisect.bisect_left(ascending, doc.as_py())]]
+                if not len(at):
+                    continue
+                gone = covered(len(words), at, window)
                 edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                 kept = b" ".join([w for w, x in zip(words, gone.tolist()) if not x])
                 out.append({"doc_id": doc.as_py(), "same": same, "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "first": edges[::2].tolist(), "stop": edges[1::2].tolist()})
@@ -245,11 +298,18 @@ def removals(ws: Workspace, docs: DataFrame, window: int = WINDOW, gram: int = G
     by_doc = hits.groupBy("doc_id", "same").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).join(copies, ["doc_id", "same"], "left_anti")
     texts = ws.save(rows.join(by_doc, "doc_id").select("doc_id", "text", "same", "runs"))
 
-    windows = lambda df: df.mapInArrow(_windows(window), f"doc_id {kind}, same long, s int, h1 long, h2 long")
+    windows = lambda df, without: df.mapInArrow(_windows(window, without), f"doc_id {kind}, same long, s int, h1 long, h2 long")
     some = F.pmod(F.xxhash64("same"), F.lit(-(-n_known // SAMPLE) or 1)) == 0
-    shared = among(windows(texts), hot(windows(texts.where(some)), ["h1", "h2"]), ["h1", "h2"], [("low", (F.min, "doc_id"))], "doc_id > low")
+    keys = hot(windows(texts.where(some), Frequent([], [])), ["h1", "h2"]).collect()
+    frequent, lows = Frequent([k.h1 for k in keys], [k.h2 for k in keys]), []
+    if keys:  # windows of frequent passages: HOT smallest doc_ids, looked up where the texts are cut
+        least = texts.mapInArrow(_frequent_lows(window, frequent), f"k int, low {kind}").groupBy("k").agg(F.min("low").alias("low")).orderBy("k").collect()
+        lows = [r.low for r in least]
+    lowest = F.min("doc_id").over(W.partitionBy("h1", "h2"))
+    shared = windows(texts, frequent).withColumn("low", lowest).where("doc_id > low")
     shared = ws.save(shared.groupBy("doc_id", "same").agg(F.collect_set("s").alias("starts")))
-    cut = texts.select("doc_id", "text", "same").join(shared, ["doc_id", "same"]).select("doc_id", "text", "same", "starts").mapInArrow(_cut(window), f"doc_id {kind}, same long, n_removed long, kept_sha256 string, first array<long>, stop array<long>")
+    cut = texts.join(shared, ["doc_id", "same"], "left" if keys else "inner").select("doc_id", "text", "same", "starts", "runs")
+    cut = cut.mapInArrow(_cut(window, frequent, lows), f"doc_id {kind}, same long, n_removed long, kept_sha256 string, first array<long>, stop array<long>")
     cut = cut.dropDuplicates(["doc_id", "same"])
 
     whole = copies.withColumn("_copy", F.lit(True))
