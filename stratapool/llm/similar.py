@@ -13,10 +13,12 @@ of that similarity share, and only rows under one key are compared:
   0.8. Texts up to LONG / similarity have both kinds of keys, so mixed pairs meet as well.
 * Under a key, numpy compares tiles of rows by exclusive-or and bit counts, skipping tile pairs whose
   population counts differ beyond RADIUS bits. Pairs beyond it (at 0.8: one in a million) are left out;
-  of fewer than SHORT shingles none is. First each text is only paired with its nearest one, and
-  components are formed; keys whose rows lie in one component are done, so a large group of near
-  copies costs about its size. When the pairs left are few, or after TURNS turns, all that are left
-  between different components are compared.
+  of fewer than SHORT shingles none is. What is left is held against an exact bound: each text also
+  has PARITY bits, each the parity of the shingles that fall on it, so two texts differ in at most as
+  many of them as there are shingles that one has and the other hasn't. First each text is only
+  paired with its nearest one, and components are formed; keys whose rows lie in one component are
+  done, so a large group of near copies costs about its size. When the pairs left are few, or after
+  TURNS turns, all that are left between different components are compared.
 * Each pair found is verified by the exact intersection of the two sets of shingle hashes. The sets
   are never stored for all texts: those of the nodes to compare are made again from the texts.
 
@@ -41,6 +43,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
 RADIUS, SHORT = 24, 16
+PARITY = 512
 LONG, BINS, BAND = 256, 96, 4
 SAMPLE = 10_000
 COMMON = 200_000
@@ -49,6 +52,7 @@ FEW = 1
 TILE, SMALL, PAIRS = 512, 16, 1 << 16
 BLOCK_ROWS = 1 << 16
 EPS = 1e-9
+FAR = 1 << 20
 NO_WORD = bytes(16)
 EDGES = np.array([-(-k * (1 << 64) // BINS) for k in range(BINS)], np.uint64)
 
@@ -76,6 +80,11 @@ def majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big", signed=True)
 
 
+def parities(h: np.ndarray) -> bytes:
+    """PARITY bits: whether an odd number of the hashes falls on each."""
+    return np.packbits(np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) % 2 == 1).tobytes()
+
+
 def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - EPS) + 1 if n else 0
 
@@ -122,7 +131,7 @@ def _prefixes(shingle: int, similarity: float, common):
         enter("similar")
         known, counts = common.value
         for batch in batches:
-            size, sims, tokens, rest = [], [], [], []
+            size, sims, tokens, rest, odd = [], [], [], [], []
             for x in batch.column(2):
                 h = shingle_set(x.as_py(), shingle)
                 n, keys, left = len(h), [], []
@@ -138,11 +147,12 @@ def _prefixes(shingle: int, similarity: float, common):
                     keys.append(bands(h).view(np.int64))
                     left.append(np.full(len(keys[-1]), n))
                 size.append(n)
+                odd.append(parities(h))
                 sims.append(majority(h) if n else 0)
                 tokens.append(np.concatenate([np.empty(0, np.int64), *keys]))
                 rest.append(np.concatenate([np.empty(0, np.int64), *left]))
             fps = [f if n else NO_WORD for f, n in zip(batch.column(1).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sims, pa.int64()), pa.array(size, pa.int32()), _lists(tokens, pa.int64()), _lists(rest, pa.int32())], ["doc_id", "fp", "sim", "n", "tokens", "rests"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sims, pa.int64()), pa.array(size, pa.int32()), _lists(tokens, pa.int64()), _lists(rest, pa.int32()), pa.array(odd, pa.binary())], ["doc_id", "fp", "sim", "n", "tokens", "rests", "odd"])
 
     return run
 
@@ -166,10 +176,27 @@ def _verify(similarity: float):
 
 
 class Group:
-    """Rows that may be compared: fingerprints, sizes, what is left from their key on, components."""
+    """Rows that may be compared: fingerprints, sizes, what is left from their key on, components,
+    and their parity bits as 64-bit words (none: the bound that they give isn't used)."""
+
+    def __init__(self, sim: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarray, similarity: float, radius: int, odd: np.ndarray | None = None):
+        self.sim, self.n, self.rest, self.comp, self.similarity, self.radius, self.odd = sim, n, rest, comp, similarity, radius, odd
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Parity bits that differ, pair by pair."""
+        out = np.zeros(len(i), np.uint16)
+        for word in self.odd.T if self.odd is not None else ():
+            out += np.bitwise_count(word[i] ^ word[j])
+        return out
+
+    def bounded(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """If the parity bits allow the similarity, pair by pair."""
+        return self.differing(i, j) <= (self.n[i].astype(np.int64) + self.n[j]) * ((1 - self.similarity) / (1 + self.similarity)) + EPS
 
-    def __init__(self, sim: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarray, similarity: float, radius: int):
-        self.sim, self.n, self.rest, self.comp, self.similarity, self.radius = sim, n, rest, comp, similarity, radius
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """What the nearest is chosen by: parity bits while they can tell, else those of the fingerprint."""
+        own = np.bitwise_count(self.sim[i] ^ self.sim[j])
+        return own.astype(np.int32) if self.odd is None else np.where(self.n[i] <= PARITY, self.differing(i, j), own).astype(np.int32)
 
     def fits(self, i, j) -> np.ndarray:
         """If the rows are of different components and their sizes allow the similarity; indexes that broadcast."""
@@ -179,12 +206,12 @@ class Group:
 
     def pairs(self, rows: np.ndarray, radius: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows that fit within the radius, by tiles; nearest: for each row only the one of the
-        fewest bits. Tile pairs whose population counts differ beyond the radius are skipped."""
+        least distance. Tile pairs whose population counts differ beyond the radius are skipped."""
         rows = rows[np.argsort(np.bitwise_count(self.sim[rows]), kind="stable")]
         pop = np.bitwise_count(self.sim[rows]).astype(np.int64)
         tiles, us, vs = [slice(a, min(a + TILE, len(rows))) for a in range(0, len(rows), TILE)], [], []
         for i, s in enumerate(tiles):
-            own, least = rows[s], np.full(s.stop - s.start, 255, np.uint8)
+            own, least = rows[s], np.full(s.stop - s.start, FAR, np.int32)
             mate = own.copy()
             for t in tiles if nearest else tiles[i:]:
                 if pop[t.start] - pop[s.stop - 1] > radius:
@@ -193,18 +220,21 @@ class Group:
                     continue
                 bits = np.bitwise_count(self.sim[own, None] ^ self.sim[None, rows[t]])
                 near = (bits <= radius) & self.fits(own[:, None], rows[None, t])
+                a, b = np.nonzero(np.triu(near) if t is s and not nearest else near)
+                ok = self.bounded(own[a], rows[t][b])
+                a, b = a[ok], b[ok]
                 if nearest:
-                    bits[~near] = 255
-                    at = bits.argmin(axis=1)
-                    less = bits[np.arange(len(own)), at]
+                    far = np.full(near.shape, FAR, np.int32)
+                    far[a, b] = self.distance(own[a], rows[t][b])
+                    at = far.argmin(axis=1)
+                    less = far[np.arange(len(own)), at]
                     mate, least = np.where(less < least, rows[t][at], mate), np.minimum(less, least)
                 else:
-                    a, b = np.nonzero(np.triu(near) if t is s else near)
                     us.append(own[a])
                     vs.append(rows[t][b])
             if nearest:
-                us.append(own[least < 255])
-                vs.append(mate[least < 255])
+                us.append(own[least < FAR])
+                vs.append(mate[least < FAR])
         return (np.concatenate(us), np.concatenate(vs)) if us else (rows[:0], rows[:0])
 
 
@@ -213,7 +243,8 @@ def _tiles(similarity: float, radius: int, nearest: bool):
         for batch in whole_groups(batches):
             key, sim, n, rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4))
             fp, comp = batch.column(1), np.unique(np.array(batch.column(5).to_pylist(), "S16"), return_inverse=True)[1]
-            g = Group(sim.view(np.uint64), n, rest, comp, similarity, radius)
+            odd = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(len(n), -1)
+            g = Group(sim.view(np.uint64), n, rest, comp, similarity, radius, odd)
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
             small, us, vs = np.flatnonzero(np.repeat(size <= SMALL, size)), [], []
@@ -221,7 +252,7 @@ def _tiles(similarity: float, radius: int, nearest: bool):
                 i, j = small[:-d], small[d:]
                 same = key[i] == key[j]
                 i, j = i[same], j[same]
-                near = ((np.bitwise_count(g.sim[i] ^ g.sim[j]) <= radius) | (np.minimum(n[i], n[j]) < SHORT)) & g.fits(i, j)
+                near = ((np.bitwise_count(g.sim[i] ^ g.sim[j]) <= radius) | (np.minimum(n[i], n[j]) < SHORT)) & g.fits(i, j) & g.bounded(i, j)
                 us.append(i[near])
                 vs.append(j[near])
             for a, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
@@ -231,13 +262,13 @@ def _tiles(similarity: float, radius: int, nearest: bool):
                     us.append(u)
                     vs.append(v)
             u, v = np.concatenate(us), np.concatenate(vs)
-            if nearest:  # from here on, the one of the fewest bits for each row
+            if nearest:  # from here on, the nearest one for each row
                 u, v = np.r_[u, v], np.r_[v, u]
-                order = np.lexsort((v, np.bitwise_count(g.sim[u] ^ g.sim[v]), u))
+                order = np.lexsort((v, g.distance(u, v), u))
                 u, v = u[order], v[order]
                 first = np.r_[True, u[1:] != u[:-1]][: len(u)]
                 u, v = u[first], v[first]
-            bits = np.bitwise_count(g.sim[u] ^ g.sim[v]).astype(np.int32)
+            bits = g.distance(u, v)
             for k in range(0, len(u), PAIRS):
                 part = slice(k, k + PAIRS)
                 yield pa.RecordBatch.from_arrays([fp.take(pa.array(u[part])), fp.take(pa.array(v[part])), pa.array(bits[part])], ["u", "v", "bits"])
@@ -265,11 +296,11 @@ def _common(texts: DataFrame, shingle: int, sample: int):
 
 
 def prefixes(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, fp, sim, n, tokens, rests) of each row, saved: fp names the text, sim is its fingerprint, n the
-    number of its shingles, tokens are its keys, rests what is left of it from each on."""
+    """(doc_id, fp, sim, n, tokens, rests, odd) of each row, saved: fp names the text, sim is its fingerprint, n the
+    number of its shingles, tokens are its keys, rests what is left of it from each on, odd its parity bits."""
     common = _common(docs.select(F.col(text_col).cast("binary").alias("text")), shingle, sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), identity(F.col(text_col)).alias("fp"), F.col(text_col).cast("binary").alias("text"))
-    out = ws.save(rows.mapInArrow(_prefixes(shingle, similarity, common), f"doc_id {id_type(docs, id_col)}, fp binary, sim long, n int, tokens array<long>, rests array<int>"))
+    out = ws.save(rows.mapInArrow(_prefixes(shingle, similarity, common), f"doc_id {id_type(docs, id_col)}, fp binary, sim long, n int, tokens array<long>, rests array<int>, odd binary"))
     common.unpersist()
     return out
 
@@ -280,7 +311,8 @@ def similar_classes(ws: Workspace, docs: DataFrame, rows: DataFrame, text_col: s
     once = rows.select("fp", "sim", "n", "tokens", "rests").dropDuplicates(["fp"])
     every = once.select("fp", "sim", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("rests").alias("rest"))))
     shared = every.groupBy("token").count().where("count > 1").select("token")
-    lists = ws.save(every.join(shared, "token").select("token", "fp", "sim", "n", "rest", F.col("fp").alias("comp")))
+    odd = rows.select("fp", "odd").dropDuplicates(["fp"])
+    lists = ws.save(every.join(shared, "token").join(odd, "fp").select("token", "fp", "sim", "n", "rest", F.col("fp").alias("comp"), "odd"))
     n_rows = lists.count()
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -312,6 +344,6 @@ def similar_classes(ws: Workspace, docs: DataFrame, rows: DataFrame, text_col: s
         roots = connected_components(edges, "u", "v")
         if last:
             break
-        lists, old = ws.save(lists.drop("comp").join(roots, lists["fp"] == roots["node"], "left").select("token", "fp", "sim", "n", "rest", F.coalesce("root", "fp").alias("comp"))), lists
+        lists, old = ws.save(lists.drop("comp").join(roots, lists["fp"] == roots["node"], "left").select("token", "fp", "sim", "n", "rest", F.coalesce("root", "fp").alias("comp"), "odd")), lists
         ws.drop(old)
     return roots if roots is not None else connected_components(edges, "u", "v")

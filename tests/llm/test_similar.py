@@ -91,3 +91,25 @@ def test_pipeline_stage_against_brute_force_jaccard(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, sf_dir)
     assert {r.doc_id for r in out.collect()} == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_parity_bits_lose_no_pair_and_leave_few_others():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pool, sets = rng.integers(0, 2**63, 260).astype(np.uint64), []
+    for _ in range(300):
+        own = np.concatenate([pool[rng.random(len(pool)) < 0.55 + 0.4 * rng.random()], rng.integers(0, 2**63, rng.integers(0, 25)).astype(np.uint64)])
+        sets.append(np.unique(own))
+    n = np.array([len(h) for h in sets])
+    odd = np.frombuffer(b"".join(similar.parities(h) for h in sets), np.uint64).reshape(len(n), -1)
+    g = similar.Group(np.zeros(300, np.uint64), n, n, np.arange(300), 0.8, 64, odd)
+    i, j = np.triu_indices(300, 1)
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    near = shared >= 0.8 * (n[i] + n[j] - shared)
+    left = g.bounded(i, j)
+    assert near.any() and not (near & ~left).any()
+    assert left.sum() < near.sum() + 0.2 * (~near).sum()
+    assert similar.parities(sets[0][:0]) == bytes(64)
+    u, v = g.pairs(np.arange(300), 64, False)
+    assert len(u) == (left & g.fits(i, j)).sum()
