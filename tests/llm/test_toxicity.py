@@ -106,3 +106,34 @@ def test_cut_counts_what_rows_stand_for():
     logit, label = np.array([3.0, 2.0, 1.0, 0.0]), np.array([1, 0, 1, 0])
     assert toxicity.best_cut(logit, label) == 0.5
     assert toxicity.best_cut(logit, label, np.where(label == 1, 1.0, 9.0)) == 2.5
+
+
+def test_rows_outside_the_start_are_learned(spark):
+    """What marks a text is only in texts that the start leaves out by their length; the cuts count all rows held back."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(4000):
+        toxic = i % 4 == 0
+        text = rng.choice(words, 8 if i % 8 < 4 else 60).tolist()
+        if toxic:
+            text[len(text) // 2] = "bad" if i % 8 < 4 else "vile"
+        rows.append((i, " ".join(text), "en", int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    net = toxicity.train(table.drop("toxic"), table.select("doc_id", "toxic"), F.lit(True), per_class=500, max_bytes=100, steps=200)
+    got = {r.doc_id: r.predicted for r in toxicity.score(table.drop("toxic"), net).collect()}
+    long_ones = [(got[i], y) for i, _, _, y in rows if i % 8 >= 4]
+    assert long_ones.count((1, 1)) > 450 and long_ones.count((1, 0)) < 50
+
+
+def test_weights_are_packed_whole_and_groups_cover_all():
+    net, other = toxicity.Net(3), toxicity.Net(4)
+    docs = [toxicity.codes(t) for t in ("you are fine", "", "one")]
+    net.step(docs, np.array([1, 0, 1], np.float32), np.ones(3, np.float32), 0.1, net.sums)
+    other.unpack(np.frombuffer(net.pack(), "<f4"))
+    assert other.tables().keys() == net.tables().keys() and all((v == net.tables()[k]).all() for k, v in other.tables().items())
+    assert np.array_equal(other.logits(docs), net.logits(docs))
+    parts = list(toxicity.groups([np.zeros(n) for n in (3, 50, 1, 1, 1, 1, 0)], 10, 3))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(7)) and max(p.stop - p.start for p in parts) <= 3
