@@ -211,8 +211,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     word = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     named = docs.select(F.struct(*names).alias("_r"), F.col(id_col).alias("_i"), F.when(word, similar.identity(F.col(text_col))).otherwise(F.lit(similar.NO_WORD)).alias("_f"))
     own = lambda df: named["_i"].eqNullSafe(df["_id"]) & (named["_f"] == df["_fp"])
+    # Nearly all rows stay, so their list is as long as the table: never broadcast, at no size.
     if again.isEmpty():
-        return named.join(kept, own(kept), "left_semi").select("_r.*")
+        return named.join(kept.hint("merge"), own(kept), "left_semi").select("_r.*")
     left = kept.join(again, kept["_id"].eqNullSafe(again["_id"]) & (kept["_fp"] == again["_fp"]), "left_anti")
     many = named.join(again, own(again), "left_semi").groupBy("_i", "_f").agg(F.min_by("_r", F.xxhash64("_r")).alias("_r"))
-    return named.join(left, own(left), "left_semi").select("_r.*").unionByName(many.select("_r.*"))
+    return named.join(left.hint("merge"), own(left), "left_semi").select("_r.*").unionByName(many.select("_r.*"))
