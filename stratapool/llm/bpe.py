@@ -5,7 +5,8 @@ from a table (letter, number, white space, other), which its next two neighbours
 of a run, apostrophe before a contraction). A class is a function from state to state; the
 functions that arise by composing them are few, so a composition is a look-up in a table and the
 states of all positions come from a blocked prefix scan over function numbers, without any regular
-expression. The slices between the found starts are merged by rank with a cache of slices.
+expression. The slices between the found starts are merged by rank with a cache of slices; those that
+are not in the cache are merged side by side, one pair of each slice a round.
 
 ``encode`` keeps for every token its byte offset in the text; ``decode`` writes every token's bytes
 to that offset. The rank file is read by the driver and broadcast (its size is checked).
@@ -17,6 +18,7 @@ columns are not looked at.
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 import struct
 from collections.abc import Iterator
@@ -35,12 +37,52 @@ GROUP_CHARS = 1 << 17
 BLOCK = 256
 CACHE = 1 << 17
 HEAP_FROM = 80
+WIDTHS = (8, 16, 32, HEAP_FROM)
+MERGE_ROWS = 4096
 
 # Classes of code points, and states of the automaton: what the token so far is.
 RESET, LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, LAST, PREFIX = range(9)
 ENDED, LETTERS, NUMBERS, OTHERS, SPACES, PREFIXED, ONE_MORE, TWO_MORE = range(8)
 
 
+class PairTable:
+    """The id of two neighbouring ids together, for arrays: open addressing with linear probing."""
+
+    def __init__(self, pairs: dict[int, int], none: int):
+        self.none = none
+        packed = np.fromiter(pairs, np.int64, len(pairs))
+        bits = max(4, 2 + len(pairs).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1), np.full(1 << bits, none, np.int32)
+        values, slot = np.fromiter(pairs.values(), np.int32, len(pairs)), self.slots(packed)
+        while len(packed):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = packed[put], values[put]
+            left = np.ones(len(packed), bool)
+            left[put] = False
+            packed, values, slot = packed[left], values[left], (slot[left] + 1) & self.mask
+
+    def slots(self, packed: np.ndarray) -> np.ndarray:
+        x = packed.view(np.uint64)
+        return (((x ^ (x >> np.uint64(21))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        packed = a << 32 | b
+        slot = self.slots(packed)
+        held = self.keys[slot]
+        out = np.where(held == packed, self.values[slot], self.none)
+        left = np.flatnonzero((held != packed) & (held >= 0))
+        while len(left):
+            at = slot[left] = (slot[left] + 1) & self.mask
+            held, wanted = self.keys[at], packed[left]
+            own = held == wanted
+            out[left[own]] = self.values[at[own]]
+            left = left[~own & (held >= 0)]
+        return out
+
+
 def _step(cls: int, state: int) -> tuple[int, bool]:
     """The next state, and if a token starts here."""
     if cls == RESET:
@@ -147,6 +189,7 @@ class Codec:
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.packed = [r.to_bytes(4, "little") for r in range(self.size)]
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @cached_property
     def scanner(self) -> Scanner:
@@ -162,6 +205,70 @@ class Codec:
         of = self.ranks.get
         return {a << 32 | b: r for t, r in self.ranks.items() for k in range(1, len(t)) if (a := of(t[:k])) is not None and (b := of(t[k:])) is not None}
 
+    @cached_property
+    def table(self) -> PairTable:
+        return PairTable(self.pairs, self.size)
+
+    @cached_property
+    def of_bytes(self) -> np.ndarray:
+        """The id of each two bytes."""
+        out = np.full(1 << 16, self.size, np.int32)
+        for t, r in self.ranks.items():
+            if len(t) == 2:
+                out[t[0] << 8 | t[1]] = r
+        return out
+
+    def merge_side_by_side(self, pieces: list[bytes]) -> list[bytes]:
+        """merge() of slices that are no tokens, of at most HEAP_FROM bytes: in each round every slice
+        merges its pair of lowest rank, leftmost first. Its ids are a linked list in a row of a matrix,
+        which ends with ``none``."""
+        n, none, sizes = len(pieces), self.size, np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(sizes.max()) + 1
+        raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width)
+        inside = np.arange(width) < sizes[:, None]
+        ids = np.where(inside, np.array(self.single)[raw], none).ravel()
+        ranks = np.full((n, width), none, np.int32)
+        ranks[:, :-1] = np.where(inside[:, 1:], self.of_bytes[raw[:, :-1].astype(np.intp) << 8 | raw[:, 1:]], none)
+        flat = ranks.ravel()
+        after, before = np.arange(1, n * width + 1), np.arange(-1, n * width - 1)
+        live = np.arange(n)
+        while True:
+            own = ranks[live]
+            low = own.argmin(1)
+            m = own[np.arange(len(live)), low].astype(np.int64)
+            more = m < none
+            live, m = live[more], m[more]
+            if not len(live):
+                break
+            i = live * width + low[more]
+            j, h = after[i], before[i]  # before a row's first: the end of the row above
+            k = after[j]
+            ids[i], ids[j], flat[j] = m, -1, none
+            after[i], before[k] = k, i
+            both = self.table.find(np.r_[m, ids[h]], np.r_[ids[k], m])
+            flat[i], flat[h] = both[: len(i)], both[len(i) :]
+        kept = (ids >= 0) & (ids < none)
+        data = ids[kept].astype("<u4").tobytes()
+        stop = (4 * np.cumsum(kept.reshape(n, width).sum(1))).tolist()
+        return [data[a:b] for a, b in zip([0, *stop], stop)]
+
+    def merge_all(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """merge() of each."""
+        of, packed, out = self.ranks.get, self.packed, {}
+        rest: list[list[bytes]] = [[] for _ in WIDTHS]
+        for p in pieces:
+            if (r := of(p)) is not None:
+                out[p] = packed[r]
+            elif len(p) > HEAP_FROM:
+                out[p] = self.merge_long(p)
+            else:
+                rest[bisect.bisect_left(WIDTHS, len(p))].append(p)
+        for some in rest:
+            for a in range(0, len(some), MERGE_ROWS):
+                part = some[a : a + MERGE_ROWS]
+                out.update(zip(part, self.merge_side_by_side(part)))
+        return out
+
     def merge(self, piece: bytes) -> bytes:
         """The ids of a slice: the pair of lowest rank, leftmost first, is merged until none is left."""
         if (r := self.ranks.get(piece)) is not None:
@@ -218,18 +325,18 @@ class Codec:
             width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
             at = (np.cumsum(width) - width)[starts]
         at = at.tolist()
-        cache, merge = self.cache, self.merge
-        if len(cache) > CACHE:
-            cache.clear()
-        out = []
-        for a, b in zip(at, at[1:]):
-            piece = data[a:b]
-            ids = cache.get(piece)
-            if ids is None:
-                ids = merge(piece)
-                if b - a <= 64:
-                    cache[piece] = ids
-            out.append(ids)
+        pieces = [data[a:b] for a, b in zip(at, at[1:])]
+        if len(self.cache) > CACHE // 2:  # what is used again comes back from the older half
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        absent = set(pieces).difference(cache)
+        new = [p for p in absent if p not in older]
+        cache.update([(p, older[p]) for p in absent.difference(new)])
+        cache.update(self.merge_all(new))
+        out = list(map(cache.__getitem__, pieces))
+        for p in absent:
+            if len(p) > 64:
+                del cache[p]
         cuts = np.searchsorted(starts, resets).tolist()
         return [b"".join(out[a + 1 : b]) for a, b in zip(cuts, cuts[1:])]
 

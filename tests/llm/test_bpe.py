@@ -55,3 +55,31 @@ def test_table_against_tiktoken(spark, sf_dir, tik):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     apart = bpe.decode(bpe.encode(docs)).orderBy("doc_id").collect()
     assert [(r.doc_id, bytes(r.decoded).decode()) for r in apart] == [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+
+
+def test_slices_merged_side_by_side(codec):
+    rng = random.Random(5)
+    tokens = list(codec.ranks)
+    joined = [b"".join(rng.choices(tokens, k=rng.randrange(1, 7))) for _ in range(3000)]
+    raw = [rng.randbytes(rng.randrange(1, 90)) for _ in range(500)]
+    pieces = list({*joined, *raw, *(b"a" * n for n in range(1, 90)), *(b"ab" * n for n in range(1, 45))})
+    assert codec.merge_all(pieces) == {p: codec.merge(p) for p in pieces}
+    assert codec.merge_all([]) == {}
+
+
+def test_pair_table(codec):
+    import numpy as np
+
+    a, b = np.array([[k >> 32, k & 0xFFFFFFFF] for k in codec.pairs]).T
+    assert codec.table.find(a, b).tolist() == list(codec.pairs.values())
+    assert (codec.table.find(a, np.full(len(b), codec.size)) == codec.size).all()
+
+
+def test_slices_used_again_stay_in_the_cache(monkeypatch):
+    own = bpe.Codec(bpe.read_ranks())
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    merged = []
+    monkeypatch.setattr(own, "merge_all", lambda new: merged.extend(new) or bpe.Codec.merge_all(own, new))
+    texts = [" ".join(["zqxjk", *(f"w{chr(97 + k)}{chr(97 + i % 26)}q" for k in range(8))]) for i in range(40)]
+    got = [own.encode([t]) for t in texts]
+    assert [g for [g] in got] == bpe.Codec(bpe.read_ranks()).encode(texts) and merged.count(b"zqxjk") == 1 and len(own.cache) + len(own.older) <= 2 * 40
