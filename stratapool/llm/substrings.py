@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Workspace, enter, id_type, join_sums, prepare
+from .common import Sieve, Workspace, enter, id_type, join_sums, prepare
 
 WINDOW = 50
 GRAM = 13
@@ -295,8 +295,9 @@ def removals(ws: Workspace, docs: DataFrame, window: int = WINDOW, gram: int = G
     spread = lambda df: df.select("doc_id", "same", F.inline(F.arrays_zip("key", "lo", "hi", "anchored")))
     two = [("a", (F.min, "same")), ("b", (F.max, "same")), ("c", (F.max, "anchored"))]
     hits = among(spread(known), hot(spread(known.where(some)), ["key"]), ["key"], two, "a < b and c")
-    by_doc = hits.groupBy("doc_id", "same").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).join(copies, ["doc_id", "same"], "left_anti")
-    texts = ws.save(rows.join(by_doc, "doc_id").select("doc_id", "text", "same", "runs"))
+    by_doc = ws.save(hits.groupBy("doc_id", "same").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).join(copies, ["doc_id", "same"], "left_anti"))
+    likely, _ = Sieve(ws, by_doc.select("doc_id")).part(rows, "doc_id")  # so only these texts are shuffled
+    texts = ws.save(likely.join(by_doc.hint("merge"), "doc_id").select("doc_id", "text", "same", "runs"))
 
     windows = lambda df, without: df.mapInArrow(_windows(window, without), f"doc_id {kind}, same long, s int, h1 long, h2 long")
     some = F.pmod(F.xxhash64("same"), F.lit(-(-n_known // SAMPLE) or 1)) == 0
@@ -335,36 +336,41 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the repeats. Texts that lose nothing stay as they were; others become their kept
-    words, joined by one space; documents that lose all words go."""
+    words, joined by one space; documents that lose all words go.
+
+    What goes is a checkpoint of numbers; texts are read from docs when the result is, and only those
+    that may lose words are shuffled."""
     spark = prepare(docs.sparkSession)
     names = docs.columns
     kind = docs.schema["n_chars"].dataType if "n_chars" in names else None
     with Workspace(spark) as ws:
-        gone = ws.save(removals(ws, docs, window, gram, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), F.col("n_words").alias("_n"), F.col("n_removed").alias("_gone"), F.col("first").alias("_first"), F.col("stop").alias("_stop")).distinct())
-
-        @F.pandas_udf("long")
-        def same(texts):
-            import pandas as pd
-
-            return pd.Series([identity(b" ".join((t or b"").split())) for t in texts], dtype="int64")
-
-        @F.pandas_udf("string")
-        def cut(texts, firsts, stops):
-            import pandas as pd
-
-            kept = []
-            for t, a, b in zip(texts, firsts, stops):
-                words = (t or b"").split()
-                keep = np.ones(len(words), bool)
-                for x, y in zip(a, b):
-                    keep[x:y] = False
-                kept.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]).decode())
-            return pd.Series(kept)
-
-        text = F.col(text_col).cast("binary")
-        marked = docs.select(F.struct(*names).alias("_r"), F.col(id_col).alias("_i"), text.alias("_t"), same(text).alias("_own"))
-        both = marked.join(gone, (F.col("_i") == F.col("_id")) & (F.col("_own") == F.col("_same")), "left")
-        calm = both.where(F.col("_id").isNull()).select("_r.*")
-        left = both.where(F.col("_gone") < F.col("_n")).withColumn("_kept", cut("_t", "_first", "_stop"))
-        new = {text_col: F.col("_kept")} | ({"n_chars": F.length("_kept").cast(kind)} if kind is not None else {})
-        return ws.result(calm.unionByName(left.select(*[new.get(c, F.col("_r")[c]).alias(c) for c in names])))
+        gone = ws.result(removals(ws, docs, window, gram, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), F.col("n_words").alias("_n"), F.col("n_removed").alias("_gone"), F.col("first").alias("_first"), F.col("stop").alias("_stop")).distinct())
+
+        likely, calm = Sieve(ws, gone.select("_id")).part(docs.select(F.struct(*names).alias("_r"), F.col(id_col).alias("_i")), "_i")
+
+    @F.pandas_udf("long")
+    def same(texts):
+        import pandas as pd
+
+        return pd.Series([identity(b" ".join((t or b"").split())) for t in texts], dtype="int64")
+
+    @F.pandas_udf("string")
+    def cut(texts, firsts, stops):
+        import pandas as pd
+
+        kept = []
+        for t, a, b in zip(texts, firsts, stops):
+            words = (t or b"").split()
+            keep = np.ones(len(words), bool)
+            for x, y in zip(a, b):
+                keep[x:y] = False
+            kept.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]).decode())
+        return pd.Series(kept)
+
+    text = F.col("_r")[text_col].cast("binary")
+    both = likely.withColumn("_own", same(text)).join(gone.hint("merge"), (F.col("_i") == F.col("_id")) & (F.col("_own") == F.col("_same")), "left")
+    still = both.where(F.col("_id").isNull())
+    left = both.where(F.col("_gone") < F.col("_n")).withColumn("_kept", cut(text, "_first", "_stop"))
+    new = {text_col: F.col("_kept")} | ({"n_chars": F.length("_kept").cast(kind)} if kind is not None else {})
+    cuts = left.select(*[new.get(c, F.col("_r")[c]).alias(c) for c in names])
+    return calm.select("_r.*").unionByName(still.select("_r.*")).unionByName(cuts)

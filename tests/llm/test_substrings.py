@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tempfile
 
 import numpy as np
 
@@ -72,3 +73,40 @@ def test_frequent_keys_and_the_sql(spark, monkeypatch):
     for most in (0, 3, 1000):  # rows of frequent keys go another way to the same result
         monkeypatch.setattr(substrings, "HOT", most)
         assert shape((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.report(df).collect()) == shape(x[:4] for x in brute(rows))
+
+
+def test_only_texts_that_may_lose_words_are_shuffled(spark):
+    rng = random.Random(2)
+    p = " ".join(f"a{i}" for i in range(60))
+    rows = [(i, f"{p} x{i}" if i in (3, 150) else " ".join(rng.randbytes(20).hex() for _ in range(1000))) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(path := f"{tempfile.mkdtemp(prefix='spark-')}/docs")
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def written():
+        bus.waitUntilEmpty()
+        return store.executorSummary("driver").totalShuffleWrite()
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables
+    try:
+        before = written()
+        got = [(r.doc_id, r.text) for r in substrings.dedup(spark.read.parquet(path)).collect()]
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert shape(got) == shape((d, "x150" if d == 150 else t) for d, t in rows)
+    assert 0 < moved < 0.5 * sum(len(t) for _, t in rows)
+
+
+def test_sieve_loses_no_key(spark):
+    from stratapool.llm.common import Sieve, Workspace
+
+    rows = spark.range(20_000).selectExpr("id - 10000 AS k", "CAST(id AS STRING) AS t").unionByName(spark.createDataFrame([(None, "x")], "k long, t string"))
+    with Workspace(spark) as ws:
+        for step in (1, 7, 20_001):
+            keys = rows.where(f"pmod(k, {step}) = 3")
+            likely, none = Sieve(ws, keys.select("k")).part(rows.withColumnRenamed("k", "own"), "own")
+            a, b = likely.collect(), none.collect()
+            wanted = {r.k for r in keys.collect()}
+            assert likely.columns == none.columns == ["own", "t"] and len(a) + len(b) == 20_001
+            assert wanted <= {r.own for r in a} and len(a) <= 1.2 * len(wanted) + 2500
