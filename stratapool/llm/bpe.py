@@ -5,8 +5,9 @@ from a table (letter, number, white space, other), which its next two neighbours
 of a run, apostrophe before a contraction). A class is a function from state to state; the
 functions that arise by composing them are few, so a composition is a look-up in a table and the
 states of all positions come from a blocked prefix scan over function numbers, without any regular
-expression. The slices between the found starts are merged by rank with a cache of slices; those that
-are not in the cache are merged side by side, one pair of each slice a round.
+expression. The slices between the found starts are merged by rank with a cache of slices, which is
+looked up for all slices of a group of texts at once, by keys of two words that hold a slice of up to
+15 bytes whole; those that are not in the cache are merged side by side, one pair of each slice a round.
 
 ``encode`` keeps for every token its byte offset in the text; ``decode`` writes every token's bytes
 to that offset. The rank file is read by the driver and broadcast (its size is checked).
@@ -33,9 +34,13 @@ from .common import enter, id_type, prepare
 
 RANKS = "byte_bpe_50k.tiktoken"
 MAX_RANK_FILE = 64 << 20
-GROUP_CHARS = 1 << 17
+GROUP_CHARS = 1 << 18
 BLOCK = 256
-CACHE = 1 << 17
+CACHE = 1 << 20
+#: Slices of a group that are looked up at once, the longest with a key of two words, the longest that are kept.
+SLICES = 1 << 16
+KEY_BYTES = 15
+KEPT_BYTES = 64
 HEAP_FROM = 80
 WIDTHS = (8, 16, 32, HEAP_FROM)
 MERGE_ROWS = 4096
@@ -83,6 +88,83 @@ class PairTable:
         return out
 
 
+_KEY_MASKS = np.array([[(1 << 8 * min(n, 8)) - 1, (1 << 8 * max(n - 8, 0)) - 1] for n in range(KEY_BYTES + 1)], np.uint64).T.copy()
+
+
+def keys(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words for each slice of data that begins at ``at``: its bytes, and in the last byte its size
+    (KEY_BYTES at most). data goes on for 16 bytes or more behind every beginning."""
+    words = np.ndarray((len(data) - 15,), "V16", data, 0, (1,))[at].view(np.uint64).reshape(-1, 2)
+    return words[:, 0] & _KEY_MASKS[0][size], words[:, 1] & _KEY_MASKS[1][size] | size.astype(np.uint64) << np.uint64(56)
+
+
+class Slices:
+    """A cache of slices' ids. Slices with a key are looked up for arrays, by open addressing with
+    linear probing; those with more bytes are in a dict."""
+
+    def __init__(self) -> None:
+        bits = int(1.5 * (CACHE // 2 + SLICES)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.low, self.high = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)  # high is 0 where free
+        self.spans = np.zeros(1 << bits, np.uint32)  # place in ids << 4 | number of ids
+        self.ids, self.used, self.n = np.empty(1 << 12, np.uint32), 0, 0
+        self.long: dict[bytes, tuple[int, int]] = {}
+
+    def __len__(self) -> int:
+        return self.n + len(self.long)
+
+    def slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        x = low ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))
+        return (((x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The slices' spans; 0: absent."""
+        slot = self.slots(low, high)
+        held = self.high[slot]
+        own = (held == high) & (self.low[slot] == low)
+        out = np.where(own, self.spans[slot], np.uint32(0))
+        left = np.flatnonzero(~own & (held != 0))
+        while len(left):
+            at = slot[left] = (slot[left] + 1) & self.mask
+            held = self.high[at]
+            own = (held == high[left]) & (self.low[at] == low[left])
+            out[left[own]] = self.spans[at[own]]
+            left = left[~own & (held != 0)]
+        return out
+
+    def append(self, ids: np.ndarray) -> int:
+        """The place of ids, which are kept till ``used`` is set back."""
+        begin, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            grown = np.empty(2 * self.used, np.uint32)
+            grown[:begin] = self.ids[:begin]
+            self.ids = grown
+        self.ids[begin : self.used] = ids
+        return begin
+
+    def add(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Adds slices, each once and absent before, with their ids in a row; returns their spans."""
+        spans = ((self.append(ids) + np.cumsum(counts) - counts) << 4 | counts).astype(np.uint32)
+        self.n += len(low)
+        slot, todo = self.slots(low, high), np.arange(len(low))
+        while len(todo):
+            free = todo[self.high[slot[todo]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            at = slot[put]
+            self.low[at], self.high[at], self.spans[at] = low[put], high[put], spans[put]
+            left = np.ones(len(low), bool)
+            left[put] = False
+            todo = todo[left[todo]]
+            slot[todo] = (slot[todo] + 1) & self.mask
+        return spans
+
+
+def spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, counts of them."""
+    return np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 def _step(cls: int, state: int) -> tuple[int, bool]:
     """The next state, and if a token starts here."""
     if cls == RESET:
@@ -188,8 +270,7 @@ class Codec:
         self.begin = np.cumsum(self.length) - self.length
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.packed = [r.to_bytes(4, "little") for r in range(self.size)]
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.cache, self.older = Slices(), Slices()
 
     @cached_property
     def scanner(self) -> Scanner:
@@ -312,49 +393,119 @@ class Codec:
             i = after[i]
         return b"".join(out)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+    def merge_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slices in a row, and how many each has."""
+        of = self.merge_all(pieces)
+        found = [of[p] for p in pieces]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) >> 2
+
+    def spans_of_keys(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The spans in the cache of slices with keys; what it hasn't is taken from the older half or merged."""
+        spans = self.cache.find(low, high)
+        absent = np.flatnonzero(spans == 0)
+        if not len(absent):
+            return spans
+        by_key = absent[np.lexsort((low[absent], high[absent]))]
+        a, b = low[by_key], high[by_key]
+        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        a, b = a[first], b[first]
+        old = self.older.find(a, b)
+        own = np.zeros(len(a), np.uint32)
+        if (again := old != 0).any():
+            counts = (old[again] & 15).astype(np.int64)
+            own[again] = self.cache.add(a[again], b[again], self.older.ids[spread(old[again] >> 4, counts)], counts)
+        if (new := ~again).any():
+            a, b = a[new], b[new]
+            raw, size = np.column_stack([a, b]).tobytes(), (b >> np.uint64(56)).tolist()
+            own[new] = self.cache.add(a, b, *self.merge_new([raw[i : i + n] for i, n in zip(range(0, len(raw), 16), size)]))
+        spans[by_key] = own[np.cumsum(first) - 1]
+        return spans
+
+    def places_of_long(self, pieces: list[bytes]) -> dict[bytes, tuple[int, int]]:
+        """The same for longer slices; those above KEPT_BYTES are not kept."""
+        cache, older, wanted = self.cache, self.older, set(pieces)
+        for p in wanted:
+            if p not in cache.long and (held := older.long.get(p)) is not None:
+                cache.long[p] = cache.append(older.ids[held[0] : held[0] + held[1]]), held[1]
+        new = sorted((p for p in wanted if p not in cache.long), key=len)  # what isn't kept is last
+        ids, counts = self.merge_new(new)
+        begin = cache.append(ids) + np.cumsum(counts) - counts
+        places = dict(zip(new, zip(begin.tolist(), counts.tolist())))
+        cache.long.update((p, x) for p, x in places.items() if len(p) <= KEPT_BYTES)
+        return {p: places.get(p) or cache.long[p] for p in wanted}
+
+    def ids_of(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slices of data in a row, and how many each has."""
+        if len(self.cache) > CACHE // 2:  # what is used again comes back from the older half
+            self.cache, self.older = Slices(), self.cache
+        long = np.flatnonzero(size > KEY_BYTES)
+        if not len(long):
+            spans = self.spans_of_keys(*keys(data, at, size))
+            begin, counts = spans >> 4, (spans & 15).astype(np.int64)
+            return self.cache.ids[spread(begin, counts)], counts
+        short = np.flatnonzero(size <= KEY_BYTES)
+        begin, counts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        spans = self.spans_of_keys(*keys(data, at[short], size[short]))
+        begin[short], counts[short] = spans >> 4, spans & 15
+        pieces = [data[i : i + n].tobytes() for i, n in zip(at[long].tolist(), size[long].tolist())]
+        places = self.places_of_long(pieces)
+        begin[long], counts[long] = np.array([places[p] for p in pieces]).T
+        out = self.cache.ids[spread(begin, counts)]
+        if (kept := [x for p, x in places.items() if len(p) > KEPT_BYTES]):
+            self.cache.used = min(kept)[0]
+        return out, counts
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and where each text's begin and the last one's end."""
         joined = "\0" + "\0".join(texts) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        resets = np.r_[0, np.cumsum(size + 1)]
+        chars = np.fromiter(map(len, texts), np.int64, len(texts))
+        resets = np.r_[0, np.cumsum(chars + 1)]
         starts = self.scanner.boundaries(points, resets)
-        data = joined.encode()
+        data = np.frombuffer(joined.encode() + bytes(16), np.uint8)
         at = starts
-        if len(data) != len(points):
+        if len(data) - 16 != len(points):
             width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
             at = (np.cumsum(width) - width)[starts]
-        at = at.tolist()
-        pieces = [data[a:b] for a, b in zip(at, at[1:])]
-        if len(self.cache) > CACHE // 2:  # what is used again comes back from the older half
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        absent = set(pieces).difference(cache)
-        new = [p for p in absent if p not in older]
-        cache.update([(p, older[p]) for p in absent.difference(new)])
-        cache.update(self.merge_all(new))
-        out = list(map(cache.__getitem__, pieces))
-        for p in absent:
-            if len(p) > 64:
-                del cache[p]
-        cuts = np.searchsorted(starts, resets).tolist()
-        return [b"".join(out[a + 1 : b]) for a, b in zip(cuts, cuts[1:])]
+        cuts = np.searchsorted(starts, resets)
+        size = np.diff(at, append=len(data) - 16)
+        at, size = np.delete(at, cuts), np.delete(size, cuts)
+        parts = [self.ids_of(data, at[a : a + SLICES], size[a : a + SLICES]) for a in range(0, len(at), SLICES)]
+        ids, counts = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        return ids, np.r_[0, np.cumsum(counts)][cuts - np.arange(len(cuts))]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        ids, cuts = self.encode_all(texts)
+        data, stop = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
+        return [data[a:b] for a, b in zip(stop, stop[1:])]
+
+    def offsets_all(self, ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The byte offset of each token in its text."""
+        size = self.length[ids]
+        before = np.cumsum(size) - size
+        return (before - np.repeat(np.append(before, 0)[cuts[:-1]], np.diff(cuts))).astype(np.uint32)
 
     def offsets(self, ids: bytes) -> bytes:
         """The byte offset of each token."""
-        size = self.length[np.frombuffer(ids, "<u4")]
-        return (np.cumsum(size) - size).astype("<u4").tobytes()
+        at = np.frombuffer(ids, "<u4")
+        return self.offsets_all(at, np.array([0, len(at)])).astype("<u4").tobytes()
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' bytes in a row, and where each text's begin and the last one's end."""
+        size, counts = self.length[ids], np.diff(cuts)
+        stops = np.zeros(len(counts), np.int64)
+        if len(ids):
+            stops[counts > 0] = np.maximum.reduceat(offsets + size, cuts[:-1][counts > 0])
+        stop = np.r_[0, np.cumsum(stops)]
+        out = np.zeros(int(stop[-1]), np.uint8)
+        to = offsets + np.repeat(stop[:-1], counts)
+        out[spread(to, size)] = self.blob[spread(self.begin[ids], size)]
+        return out, stop
 
     def decode(self, ids: bytes, offsets: bytes) -> bytes:
         at = np.frombuffer(ids, "<u4")
-        if not len(at):
-            return b""
-        to = np.frombuffer(offsets, "<u4").astype(np.int64)
-        size = self.length[at]
-        out = np.zeros(int((to + size).max()), np.uint8)
-        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(to, size) + inner] = self.blob[np.repeat(self.begin[at], size) + inner]
-        return out.tobytes()
+        return self.decode_all(at, np.frombuffer(offsets, "<u4"), np.array([0, len(at)]))[0].tobytes()
 
 
 _codecs: dict[int, Codec] = {}
@@ -404,6 +555,14 @@ def lengths(column: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
+def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary of each values[cuts[k] : cuts[k + 1]]."""
+    stop = cuts * values.itemsize
+    if stop[-1] >= 1 << 31:
+        return pa.array([values[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(stop.astype(np.int32)), pa.py_buffer(values)])
+
+
 def encode(docs: DataFrame, rank_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, offsets): both little-endian unsigned 32-bit integers, one for each token."""
     spark = prepare(docs.sparkSession)
@@ -413,8 +572,8 @@ def encode(docs: DataFrame, rank_path: str | None = None, id_col: str = "doc_id"
         c = codec(shared.value)
         for batch in batches:
             for a, b in groups(lengths(batch.column(1))):
-                ids = c.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(map(c.offsets, ids), pa.binary())], ["doc_id", "ids", "offsets"])
+                ids, cuts = c.encode_all([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binaries(ids, cuts), binaries(c.offsets_all(ids, cuts), cuts)], ["doc_id", "ids", "offsets"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {id_type(docs, id_col)}, ids binary, offsets binary")
@@ -446,10 +605,10 @@ def round_trip(docs: DataFrame, rank_path: str | None = None, id_col: str = "doc
         c = codec(shared.value)
         for batch in batches:
             for a, b in groups(lengths(batch.column(1))):
-                ids = c.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
-                offsets = [c.offsets(i) for i in ids]
-                decoded = [c.decode(i, o) for i, o in zip(ids, offsets)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x, pa.binary()) for x in (ids, offsets, decoded))], ["doc_id", "ids", "offsets", "decoded"])
+                ids, cuts = c.encode_all([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+                offsets = c.offsets_all(ids, cuts)
+                decoded = binaries(*c.decode_all(ids, offsets, cuts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binaries(ids, cuts), binaries(offsets, cuts), decoded], ["doc_id", "ids", "offsets", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {id_type(docs, id_col)}, ids binary, offsets binary, decoded binary")
